@@ -45,7 +45,9 @@ def fuzzy_score(query: Column, term: str, threshold: float = C.FUZZY_THRESHOLD)
     """1.0 on containment either way, the indel ratio where it can reach the threshold, else 0."""
     q = F.lower(F.replace(query, F.lit(" "), F.lit("")))
     n, m = F.length(q), F.lit(len(term))
-    best_possible = 2.0 * F.least(n, m) / (n + m)
+    # No common subsequence is longer than the number of the query's characters that occur in the term at all.
+    usable = n - F.length(F.translate(q, term, ""))
+    best_possible = 2.0 * F.least(usable, m) / (n + m)
     return (
         F.when(F.coalesce(query, F.lit("")) == "", 0.0)
         .when(F.contains(F.lit(term), q) | F.contains(q, F.lit(term)), 1.0)

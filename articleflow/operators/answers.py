@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from articleflow import constants as C
 from articleflow.functions import text as X
-from articleflow.operators.joins import first_per_key, salted_join
+from articleflow.operators.joins import first_per_key, salted_join, small_side
 from articleflow.operators.routing import intent
 
 RESPONSE_FIELDS = ("answer", "sources", "used_realtime", "reranked", "local_results_count", "query_processed")
@@ -102,9 +102,11 @@ def cache_put(responses: DataFrame, as_of: Column, ttl_seconds: int = C.CACHE_TT
 def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
     """Requests with ``hit`` and the stored response; expired entries do not count.
 
-    Popular queries repeat the same key, hence the salted join.
+    The cache is scanned for the requested keys only; popular queries repeat a key, hence the salted join.
     """
-    live = first_per_key(cache.filter(F.col("expires_at") > as_of), ["cache_key"], [F.col("expires_at").desc()])
     keyed = requests.withColumn("cache_key", X.cache_key(F.col("query")))
+    asked = keyed.select("cache_key").distinct()
+    live = cache.filter(F.col("expires_at") > as_of).join(small_side(asked), "cache_key", "left_semi")
+    live = first_per_key(live, ["cache_key"], [F.col("expires_at").desc(), F.col("response").asc()])
     found = salted_join(keyed, live.select("cache_key", "response"), ["cache_key"], ["query_id"], "left")
     return found.withColumn("hit", F.col("response").isNotNull())

@@ -10,19 +10,20 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow import constants as C
 from articleflow.functions import text as X
-from articleflow.operators.joins import HOT_ROWS, salted_join
+from articleflow.operators.joins import HOT_ROWS, salted_join, small_side
 from articleflow.session import cut
 
 _PRIME = (1 << 61) - 1
 _MAX_HASH = (1 << 32) - 1
-_BLOCK = 4096
+# Shingles per numpy step: 128 x 256 values stay in the processor cache.
+_BLOCK = 256
 
 
 def article_text() -> Column:
@@ -62,21 +63,30 @@ def _signature(text: str, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray
     hashes = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
     prime, mask = np.uint64(_PRIME), np.uint64(_MAX_HASH)
     for start in range(0, len(hashes), _BLOCK):
-        mixed = np.multiply.outer(a, hashes[start:start + _BLOCK]) + b[:, None]
-        folded = (mixed & prime) + (mixed >> np.uint64(61))
-        folded = np.where(folded >= prime, folded - prime, folded) & mask
-        np.minimum(lows, folded.min(axis=1), out=lows)
+        x = np.multiply.outer(a, hashes[start:start + _BLOCK])
+        x += b[:, None]
+        # x mod p by folding the high bits; taking p off once more equals adding 1 in the low 32 bits.
+        high = x >> np.uint64(61)
+        x &= prime
+        x += high
+        x += x >= prime
+        x &= mask
+        np.minimum(lows, x.min(axis=1), out=lows)
     return lows
 
 
 def minhash_signature(articles: DataFrame, num_perm: int = C.NUM_PERM, size: int = C.SHINGLE_WORDS) -> DataFrame:
     """Adds ``signature`` (array of ``num_perm`` minima); one Arrow pass over the text, no shuffle."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         a, b = permutations(num_perm)
         for batch in batches:
-            yield batch.map(lambda text: _signature(text, a, b, size).astype(np.int64))
+            rows = np.empty((len(batch), num_perm), dtype=np.int64)
+            for i, text in enumerate(batch):
+                rows[i] = _signature(text.as_py(), a, b, size)
+            starts = np.arange(len(rows) + 1, dtype=np.int32) * num_perm
+            yield pa.ListArray.from_arrays(pa.array(starts), pa.array(rows.ravel()))
 
     return articles.withColumn("signature", sign(article_text()))
 
@@ -166,10 +176,15 @@ def arrival_order(order: list[str]) -> Column:
 
 
 def near_dup_filter(articles: DataFrame, order: list[str]) -> DataFrame:
-    """Articles that survive the near-duplicate filter, first arrival wins; collisions are not verified."""
-    ids = banded(articles, [arrival_order(order).alias("_order")])
-    kept = first_arrivals(cut(ids), "_order")
-    return articles.withColumn("_order", arrival_order(order)).join(kept, "_order", "left_semi").drop("_order")
+    """Articles that survive the near-duplicate filter, first arrival wins; collisions are not verified.
+
+    ``order`` must identify an article. The dropped ones, few as a rule, are anti-joined: while their list is small
+    it is broadcast and the article texts are not shuffled at all.
+    """
+    ids = cut(banded(articles, [arrival_order(order).alias("_order")]))
+    dropped = cut(ids.select("_order").join(first_arrivals(ids, "_order"), "_order", "left_anti"))
+    ordered = articles.withColumn("_order", arrival_order(order))
+    return ordered.join(small_side(dropped), "_order", "left_anti").drop("_order")
 
 
 def _shingle_set(df: DataFrame, name: str) -> DataFrame:
@@ -192,9 +207,11 @@ def near_dup_pairs_verified(articles: DataFrame, id_col: str, order: list[str],
     dropped = slots.join(kept, "_order", "left_anti")
     pairs = salted_join(dropped, kept_slots, ["bucket"], [id_col]).select(id_col, "kept_id").distinct()
     # Only articles that occur in a pair are shingled; a hot kept article is repeated per salt, not per pair.
+    pairs = cut(pairs)
     text = articles.select(id_col, "title", "content")
-    left = _shingle_set(pairs.join(text, id_col), "_set")
-    reps = pairs.select("kept_id").distinct().join(text.withColumnRenamed(id_col, "kept_id"), "kept_id")
+    left = _shingle_set(text.join(small_side(pairs), id_col), "_set")
+    kept_ids = pairs.select("kept_id").distinct()
+    reps = text.withColumnRenamed(id_col, "kept_id").join(small_side(kept_ids), "kept_id", "left_semi")
     both = salted_join(left, _shingle_set(reps, "_kept_set"), ["kept_id"], [id_col])
     shared = F.size(F.array_intersect("_set", "_kept_set"))
     total = F.size("_set") + F.size("_kept_set") - shared

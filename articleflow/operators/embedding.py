@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +59,13 @@ def embed_chunks(chunks: DataFrame, load: Callable[[], Embedder] | None = None,
     """Adds the embedding column; the model is loaded once per task and fed whole Arrow batches."""
     loader = load or hash_embedder()
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = loader()
         for batch in batches:
-            yield pd.Series(list(model(batch.fillna("").tolist()).astype(np.float32)))
+            vectors = np.asarray(model([t or "" for t in batch.to_pylist()]), dtype=np.float32)
+            starts = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(starts), pa.array(vectors.ravel()))
 
     return chunks.withColumn(output, embed(F.col(text)))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from functools import reduce
 
 from articleflow import constants as C
-from articleflow.operators.joins import first_per_key, salted_join
+from articleflow.operators.joins import first_per_key, salted_join, small_side
+from articleflow.session import cut
 
 
 def external_hits(tables: dict[str, DataFrame], caps: dict[str, int], as_of: Column) -> DataFrame:
@@ -45,7 +47,9 @@ def merged_top_n(hits: DataFrame, n: int = C.MERGED_HITS) -> DataFrame:
 
 def enrich_hits(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Hits with ``content``: the head of the page body (link, body), the summary where there is none."""
-    bodies = first_per_key(pages.select("link", "body"), ["link"], [F.col("body").asc_nulls_last()])
-    bodies = bodies.select("link", F.substring("body", 1, C.PAGE_BODY_CHARS).alias("_head"))
+    hits = cut(hits)
+    heads = pages.select("link", F.substring("body", 1, C.PAGE_BODY_CHARS).alias("_head"))
+    wanted = heads.join(small_side(hits.select("link").distinct()), "link", "left_semi")
+    bodies = first_per_key(wanted, ["link"], [F.col("_head").asc_nulls_last()])
     joined = salted_join(hits, bodies, ["link"], ["query_id", "ordinal"], "left")
     return joined.withColumn("content", F.coalesce(F.nullif("_head", F.lit("")), "summary")).drop("_head")

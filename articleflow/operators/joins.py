@@ -10,6 +10,17 @@ from pyspark.sql import Window as W
 # broadcast list of them: 50,000 entries per five billion rows.
 HOT_ROWS = 100_000
 
+# Sides of at most this many narrow rows are sent to every task; their size is counted first.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unchanged (shuffle join).
+
+    ``df`` is counted, so it should be materialised or cheap, and hold only narrow columns.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of every key.

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from articleflow import constants as C
 from articleflow.functions import text as X
-from articleflow.operators.joins import first_per_key
+from articleflow.operators.joins import first_per_key, small_side
 from articleflow.session import cut
 
 DECIMALS = 6
@@ -259,14 +259,19 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = C.SEARCH_L
 
 
 def with_payload(hits: DataFrame, chunks: DataFrame, columns: list[str], key: str = "chunk_key") -> DataFrame:
-    """Hits with the chunk's payload columns; only the payload columns of the table are read."""
+    """Hits with the chunk's payload columns: one scan of those columns against the few hits."""
     payload = chunks.select(F.col(key).alias("id"), *[c for c in columns if c != key])
-    return payload.join(hits, "id")
+    return payload.join(small_side(cut(hits)), "id")
 
 
 def attach_source(hits: DataFrame, articles: DataFrame) -> DataFrame:
-    """Hits with their article's source, ``Unknown Source`` where the article is missing."""
-    return hits.join(articles.select("article_id", "source"), "article_id", "left").withColumn(
+    """Hits with their article's source, ``Unknown Source`` where the article is missing.
+
+    The article table is reduced to the hits' articles before the outer join.
+    """
+    wanted = hits.select("article_id").distinct()
+    found = articles.select("article_id", "source").join(small_side(wanted), "article_id", "left_semi")
+    return hits.join(found, "article_id", "left").withColumn(
         "source", F.coalesce("source", F.lit(C.DEFAULT_SOURCE))
     )
 

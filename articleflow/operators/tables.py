@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from articleflow.functions import text as X
-from articleflow.operators.joins import first_per_key
+from articleflow.operators.joins import first_per_key, small_side
+from articleflow.session import cut
 
 
 def keep_first_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -23,11 +24,11 @@ def exact_url_dedup(articles: DataFrame, order: list[str]) -> DataFrame:
 def absent_rows(batch: DataFrame, target: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows of ``batch`` to append: first per key, and the key not in ``target`` yet.
 
-    Only the key column of the target is read. It is first reduced to the batch's keys, so that the small batch,
-    not the table, is what Spark may broadcast.
+    Only the key column of the target is read. It is first reduced to the batch's keys, which are broadcast while
+    they are few, so that the table is scanned but not shuffled.
     """
     fresh = keep_first_by_key(batch, key, order)
-    taken = target.select(key).join(fresh.select(key), key, "left_semi")
+    taken = target.select(key).join(small_side(fresh.select(key)), key, "left_semi")
     return fresh.join(taken, key, "left_anti")
 
 
@@ -39,11 +40,7 @@ def insert_if_absent(batch: DataFrame, target: DataFrame, key: str, order: list[
 def upsert(batch: DataFrame, target: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The table after insert-or-replace; within the batch the first row in ``order`` wins."""
     fresh = first_per_key(batch, [key], order)
-    return target.join(fresh.select(key), key, "left_anti").unionByName(fresh)
-
-
-def with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    return target.join(small_side(fresh.select(key)), key, "left_anti").unionByName(fresh)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -70,20 +67,28 @@ def append_absent(batch: DataFrame, path: str, key: str, order: list[str], batch
     )
 
 
-def upsert_into(batch: DataFrame, path: str, key: str, order: list[Column], buckets: int = 64) -> None:
-    """Insert-or-replace into a Parquet table partitioned by key bucket; only touched buckets are rewritten.
+def upsert_into(batch: DataFrame, path: str, key: str, order: list[Column], part: str = "day") -> None:
+    """Insert-or-replace into a Parquet table partitioned by ``part``; only touched partitions are rewritten.
 
-    Replaying a batch is harmless: the same keys are replaced by the same rows.
+    A key stays in the partition where it was first stored. New keys thus go to the newest partitions, old ones are
+    rewritten only where a stored key is replaced, and no partition is left with an outdated copy. Finding the
+    stored keys reads the key column alone. Replaying a batch replaces the same rows by themselves.
     """
-    fresh = with_bucket(first_per_key(batch, [key], order), key, buckets)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
-    # The bucket numbers are few by construction (at most ``buckets``), so they prune the read as literals.
-    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
-    target = read_or_empty(batch.sparkSession, path, schema).filter(F.col("bucket").isin(touched))
+    spark = batch.sparkSession
+    fresh = cut(first_per_key(batch, [key], order))
+    table = read_or_empty(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields))
+    keys = small_side(fresh.select(key))
+    stored = table.select(key, F.col(part).alias("_part")).join(keys, key, "left_semi")
+    placed = cut(
+        fresh.join(stored, key, "left").withColumn(part, F.coalesce("_part", part)).drop("_part").select(*fresh.columns)
+    )
+    # One value per touched partition, which prunes the read as literals.
+    touched = [row[0] for row in placed.select(part).distinct().collect()]
+    merged = upsert(placed, table.filter(F.col(part).isin(touched)), key, [F.lit(0)])
+    # Rebalancing splits large and merges small output partitions by size.
     (
-        upsert(fresh, target, key, order)
-        .repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        merged.hint("rebalance", part)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     )
 
 

@@ -28,7 +28,7 @@ def local_hits(queries: DataFrame, corpus: Corpus, limit: int, load: Callable[[]
     """Hybrid hits with query, text and source; a bounded table (limit rows per query), computed once."""
     embedded = embed_chunks(queries.select("query_id", "query"), load, "query")
     found = retrieval.hybrid_search(embedded, corpus.chunks, limit)
-    payload = retrieval.with_payload(found, corpus.chunks, ["text", "article_id"], "chunk_key")
+    payload = cut(retrieval.with_payload(found, corpus.chunks, ["text", "article_id"], "chunk_key"))
     sourced = retrieval.attach_source(payload, corpus.articles)
     return cut(sourced.join(queries.select("query_id", "query"), "query_id"))
 

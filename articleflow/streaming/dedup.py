@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from articleflow import constants as C
 from articleflow.operators.dedup import arrival_order, banded, first_arrivals
-from articleflow.operators.joins import salted_join
+from articleflow.operators.joins import salted_join, small_side
 from articleflow.operators.tables import read_or_empty
 from articleflow.session import cut
 
@@ -27,6 +27,7 @@ def near_dup_batch(batch: DataFrame, store: str, batch_id: int, order: list[str]
     A replayed batch ignores its own earlier fingerprints and overwrites them.
     """
     spark = batch.sparkSession
+    batch = batch.dropDuplicates(order)  # at-least-once delivery may repeat a message within the batch
     today = F.to_date(as_of)
     store_rows = read_or_empty(spark, store, _STORE).filter(
         (F.col("expires_day") >= today) & (F.col("expires_at") > as_of) & (F.col("batch_id") < batch_id)
@@ -34,7 +35,8 @@ def near_dup_batch(batch: DataFrame, store: str, batch_id: int, order: list[str]
     items = cut(banded(batch, [arrival_order(order).alias("_order")]))
     slots = items.select("_order", F.explode("buckets").alias("bucket"))
     # The store is scanned once and reduced to the batch's own buckets before anything is shuffled back.
-    taken = store_rows.select("bucket").join(slots.select("bucket").distinct(), "bucket", "left_semi").distinct()
+    asked = small_side(slots.select("bucket").distinct())
+    taken = store_rows.select("bucket").join(asked, "bucket", "left_semi").distinct()
     known = salted_join(slots, taken, ["bucket"], ["_order"]).select("_order").distinct()
     kept = cut(first_arrivals(cut(items.join(known, "_order", "left_anti")), "_order"))
     expires = as_of + F.expr(f"INTERVAL {ttl_seconds} SECONDS")
@@ -45,4 +47,6 @@ def near_dup_batch(batch: DataFrame, store: str, batch_id: int, order: list[str]
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("expires_day", "batch_id").parquet(store)
     )
-    return batch.withColumn("_order", arrival_order(order)).join(kept, "_order", "left_semi").drop("_order")
+    dropped = cut(items.select("_order").join(kept, "_order", "left_anti"))
+    ordered = batch.withColumn("_order", arrival_order(order))
+    return ordered.join(small_side(dropped), "_order", "left_anti").drop("_order")

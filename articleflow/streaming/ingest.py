@@ -26,7 +26,6 @@ class Stores:
     """Table locations below one root."""
 
     root: str
-    chunk_buckets: int = 64
     articles: str = field(init=False)
     chunks: str = field(init=False)
     fingerprints: str = field(init=False)
@@ -45,9 +44,13 @@ def chunk_rows(articles: DataFrame, load: Callable[[], Embedder] | None = None)
 
 
 def dual_index(articles: DataFrame, chunks: DataFrame, stores: Stores, batch_id: int, as_of: Column) -> None:
-    """One batch into both tables: articles if absent by url, chunks by key. Replays change nothing."""
+    """One batch into both tables: articles if absent by url, chunks by key. Replays change nothing.
+
+    Chunks lie in the partition of the day they were first indexed.
+    """
     append_absent(article_rows(articles, as_of), stores.articles, "url", ["created_at", "id"], batch_id)
-    upsert_into(chunks, stores.chunks, "chunk_key", [F.col("text").asc()], stores.chunk_buckets)
+    dated = chunks.withColumn("day", F.to_date(as_of))
+    upsert_into(dated, stores.chunks, "chunk_key", [F.col("text").asc()])
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, stores: Stores, order: list[str], as_of: Column,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from articleflow import constants as C
 from articleflow.functions import text as X
 from articleflow.operators import chunking, dedup, embedding, tables
+from articleflow.session import scratch
 from catalog import sql as S
 from catalog.registry import doc_articles, query, table
 
@@ -137,13 +138,17 @@ def validate_embedding_dim(spark, sf_dir):
 # --------------------------------------------------------------------------------------------- chunk table
 
 @query("upsert_chunks", f"""WITH {S.DOCS},{S.CHUNKS}
-SELECT chunk_key, url, CASE WHEN title = 'en' THEN 'rev2: ' || text ELSE text END AS text FROM chunks""")
+SELECT chunk_key, url, CASE WHEN title = 'en' THEN 'rev2: ' || text ELSE text END AS text,
+  strftime(scraped_at, '%Y-%m-%d') AS day FROM chunks JOIN docs USING (doc_id, url, title)""")
 def upsert_chunks(spark, sf_dir):
-    from articleflow.session import scratch
-
     path = scratch(spark, "chunks")
-    first = keyed_chunks(spark, sf_dir).select("chunk_key", "url", "title", "text")
-    revised = first.filter("title = 'en'").withColumn("text", F.concat(F.lit("rev2: "), "text"))
+    first = keyed_chunks(spark, sf_dir).select(
+        "chunk_key", "url", "title", "text", F.to_date("scraped_at").alias("day")
+    )
+    # The revision arrives a month later, twice; its chunks stay in the partitions of their first day.
+    revised = first.filter("title = 'en'").withColumns({
+        "text": F.concat(F.lit("rev2: "), "text"), "day": F.add_months("day", 1),
+    })
     for batch in (first, revised, revised):
-        tables.upsert_into(batch.drop("title"), path, "chunk_key", [F.col("text").asc()], buckets=8)
-    return spark.read.parquet(path).select("chunk_key", "url", "text")
+        tables.upsert_into(batch.drop("title"), path, "chunk_key", [F.col("text").asc()])
+    return spark.read.parquet(path).select("chunk_key", "url", "text", F.date_format("day", "yyyy-MM-dd").alias("day"))

@@ -9,12 +9,12 @@ from articleflow.operators import normalize, stats, tables
 from articleflow.session import scratch
 from articleflow.sources import feeds, logs, topics
 from catalog import sql as S
-from catalog.registry import AS_OF, as_of, doc_articles, iso, page_articles, query, table
+from catalog.registry import AS_OF, as_of, doc_articles, iso, page_articles, query, spread_table, table
 
 
 @query("feed_entries", f"""SELECT url AS link, {S.page_title('html')} AS title, md5(html) AS summary_md5 FROM pages""")
 def feed_entries(spark, sf_dir):
-    entries = feeds.page_entries(table(spark, sf_dir, "pages"))
+    entries = feeds.page_entries(spread_table(spark, sf_dir, "pages"))
     return entries.select("link", "title", F.md5("summary").alias("summary_md5"))
 
 
@@ -22,7 +22,7 @@ def feed_entries(spark, sf_dir):
 SELECT article_id, arts.url, title, content, source, 'Unknown' AS author, '{AS_OF}' AS published_date,
   'General' AS categories, CAST(len({S.words('html')}) AS INT) AS word_count FROM arts JOIN pages USING (page_id)""")
 def normalize_articles(spark, sf_dir):
-    articles = normalize.normalize_articles(feeds.page_entries(table(spark, sf_dir, "pages")), as_of())
+    articles = normalize.normalize_articles(feeds.page_entries(spread_table(spark, sf_dir, "pages")), as_of())
     return articles.select(
         "article_id", "url", "title", "content", "source", "author", iso("published_date").alias("published_date"),
         F.array_join("categories", ",").alias("categories"), F.col("metadata.word_count").alias("word_count"),

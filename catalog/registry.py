@@ -58,7 +58,7 @@ def doc_articles(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataF
 
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as normalised articles, published one per hour in ``page_id`` order."""
-    articles = page_entries(table(spark, sf_dir, "pages"))
+    articles = page_entries(spread(table(spark, sf_dir, "pages")))
     return articles.select(
         "page_id", X.url_uuid(F.col("link")).alias("article_id"), F.col("link").alias("url"), "title",
         X.html_to_text(F.col("summary")).alias("content"), X.source_name(F.col("feed_url")).alias("source"),
@@ -75,6 +75,10 @@ SHORT_QUERIES = (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey",
                  ("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name"))
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query log: all conversation turns, and short queries: customer, supplier, part and nation names."""
     log = table(spark, sf_dir, "conversations").select(

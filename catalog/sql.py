@@ -91,11 +91,13 @@ perms(i, a, b) AS (VALUES {_PERMS}),
 hashed AS MATERIALIZED (
   SELECT doc_id, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS h
   FROM (SELECT doc_id, sha1(s) AS h FROM (SELECT doc_id, unnest(sh) AS s FROM shingled))),
+mixed AS (SELECT doc_id, i, CAST((CAST(a AS HUGEINT) * h + b) & 18446744073709551615 AS UBIGINT) AS x FROM hashed, perms),
+folded AS (SELECT doc_id, i, (x & 2305843009213693951) + (x >> 61) AS y FROM mixed),
 minima AS (
-  SELECT doc_id, i, min((((CAST(a AS HUGEINT) * h + b) % 18446744073709551616) % 2305843009213693951) & 4294967295) AS m
-  FROM hashed, perms GROUP BY doc_id, i),
+  SELECT doc_id, i, min(CASE WHEN y >= 2305843009213693951 THEN y - 2305843009213693951 ELSE y END & 4294967295) AS m
+  FROM folded GROUP BY doc_id, i),
 sigs AS MATERIALIZED (
-  SELECT d.doc_id, coalesce(s.sig, list_transform(range(128), lambda x: CAST(4294967295 AS HUGEINT))) AS sig
+  SELECT d.doc_id, coalesce(s.sig, list_transform(range(128), lambda x: CAST(4294967295 AS UBIGINT))) AS sig
   FROM docs d LEFT JOIN (SELECT doc_id, list(m ORDER BY i) AS sig FROM minima GROUP BY doc_id) s USING (doc_id))"""
 SLOTS = """
 slots AS MATERIALIZED (""" + " UNION ALL ".join(
@@ -141,7 +143,7 @@ def embed(name: str, source: str, key: str, text: str, dim: int = C.EMBEDDING_DI
     return f"""
 {name}_tok AS (SELECT {key}, md5(unnest({tokens(text)})) AS h FROM {source}),
 {name}_raw AS (SELECT {key}, CAST('0x' || substr(h, 1, 8) AS BIGINT) % {dim} AS dim,
-  sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS v FROM {name}_tok GROUP BY ALL),
+  sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS v FROM {name}_tok GROUP BY ALL HAVING v <> 0),
 {name} AS MATERIALIZED (SELECT {key}, dim,
   CAST(CAST(CAST(v AS DOUBLE) / sqrt(CAST(sum(v * v) OVER (PARTITION BY {key}) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS x
   FROM {name}_raw)"""
@@ -257,7 +259,7 @@ terms(term) AS (VALUES {_TERMS}),
 bare AS (SELECT DISTINCT query, lower(replace(query, ' ', '')) AS q FROM log),
 near AS (SELECT DISTINCT q, term FROM bare, terms
   WHERE NOT contains(term, q) AND NOT contains(q, term)
-    AND 2.0::DOUBLE * least(len(q), len(term)) / (len(q) + len(term)) >= {C.FUZZY_THRESHOLD}),
+    AND 2.0::DOUBLE * least(len(q) - len(translate(q, term, '')), len(term)) / (len(q) + len(term)) >= {C.FUZZY_THRESHOLD}),
 walk AS (
   SELECT q, term, 0 AS i, list_transform(range(0, len(term) + 1), lambda x: CAST(0 AS BIGINT)) AS cells FROM near
   UNION ALL

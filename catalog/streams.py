@@ -94,7 +94,7 @@ def ingested(spark, sf_dir):
     rows = in_deliveries(doc_articles(spark, sf_dir), "doc_id").drop("doc_id")
 
     def start(messages, root):
-        return ingest.start_ingest(messages, ingest.Stores(root, chunk_buckets=8), once=True, as_of=as_of())
+        return ingest.start_ingest(messages, ingest.Stores(root), once=True, as_of=as_of())
 
     return ingest.Stores(run_deliveries(spark, rows, start))
 
@@ -122,7 +122,7 @@ def dual_index(spark, sf_dir):
     from articleflow.operators import embedding
     from catalog.documents import keyed_chunks
 
-    stores = ingest.Stores(scratch(spark, "index"), chunk_buckets=8)
+    stores = ingest.Stores(scratch(spark, "index"))
     articles = doc_articles(spark, sf_dir)
     chunks = embedding.embed_chunks(keyed_chunks(spark, sf_dir), embedding.hash_embedder(64)).select(
         "chunk_key", "chunk_id", "text", "embedding", "article_id", "title", "url"
