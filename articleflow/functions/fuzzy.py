@@ -41,28 +41,31 @@ def indel_ratio(text: Column, term: str) -> Column:
     return 2.0 * lcs_length(text, term) / (F.length(text) + F.lit(len(term)))
 
 
-def fuzzy_score(query: Column, term: str, threshold: float = C.FUZZY_THRESHOLD) -> Column:
-    """1.0 on containment either way, the indel ratio where it can reach the threshold, else 0."""
-    q = F.lower(F.replace(query, F.lit(" "), F.lit("")))
+def bare(query: Column) -> Column:
+    """The form that is matched: lower case without blanks; null for a missing or empty query."""
+    return F.lower(F.replace(F.nullif(query, F.lit("")), F.lit(" "), F.lit("")))
+
+
+def fuzzy_score(q: Column, term: str, threshold: float = C.FUZZY_THRESHOLD) -> Column:
+    """1.0 on containment either way, the indel ratio where it can reach the threshold, else 0. ``q`` is bare."""
     n, m = F.length(q), F.lit(len(term))
     # No common subsequence is longer than the number of the query's characters that occur in the term at all.
     usable = n - F.length(F.translate(q, term, ""))
     best_possible = 2.0 * F.least(usable, m) / (n + m)
     return (
-        F.when(F.coalesce(query, F.lit("")) == "", 0.0)
+        F.when(q.isNull(), 0.0)
         .when(F.contains(F.lit(term), q) | F.contains(q, F.lit(term)), 1.0)
         .when(best_possible < threshold, 0.0)
         .otherwise(indel_ratio(q, term))
     )
 
 
-def fuzzy_match(query: Column, term: str, threshold: float = C.FUZZY_THRESHOLD) -> Column:
-    return fuzzy_score(query, term, threshold) >= threshold
+def fuzzy_match(q: Column, term: str, threshold: float = C.FUZZY_THRESHOLD) -> Column:
+    return fuzzy_score(q, term, threshold) >= threshold
 
 
-def prefix_score(query: Column, term: str) -> Column:
-    """Share of the query's characters found in order in the term; nothing counts after the first miss."""
-    q = F.lower(F.replace(query, F.lit(" "), F.lit("")))
+def prefix_score(q: Column, term: str) -> Column:
+    """Share of the bare query's characters found in order in the term; nothing counts after the first miss."""
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("hits"))
 
     def fold(state: Column, char: Column) -> Column:
@@ -74,4 +77,4 @@ def prefix_score(query: Column, term: str) -> Column:
         )
 
     hits = F.aggregate(_chars(q), start, fold)["hits"]
-    return F.when(F.length(q) == 0, 0.0).otherwise(hits / F.length(q))
+    return F.when(F.coalesce(q, F.lit("")) == "", 0.0).otherwise(hits / F.length(q))

@@ -105,6 +105,12 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _of_length(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+    """Rows whose vector can be compared; others (see validate_embedding_dim) are no candidates."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False)
+    return batch if pc.all(fits).as_py() else batch.filter(fits)
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = C.SEARCH_LIMIT, key: str = "chunk_key") -> DataFrame:
     """The k nearest chunks by cosine: (query_id, id, score, rank). Zero vectors score 0.
 
@@ -130,16 +136,16 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = C.SEARCH_LIMIT,
             for batch in batches:
                 id_type = batch.column(0).type
                 for start in range(0, batch.num_rows, rows):
-                    part = batch.slice(start, rows)
+                    part = _of_length(batch.slice(start, rows), dim)
+                    if not part.num_rows:
+                        continue
                     flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
                     vectors = _unit_rows(flat.reshape(-1, dim).astype(np.float64))
                     best.offer(np.round(wanted @ vectors.T, DECIMALS) + 0.0, part.column(0).to_pylist())
             if id_type is not None:
                 yield best.batch(query_ids, id_type)
 
-        # A foreign dimension cannot be compared; such rows belong to validate_embedding_dim's rejects.
-        usable = chunks.filter(F.size("embedding") == dim).select(key, "embedding")
-        return usable.mapInArrow(scan, schema)
+        return chunks.select(key, "embedding").mapInArrow(scan, schema)
 
     row_bytes = F.lit(64) + 8 * F.size("embedding")
     return _merge(_in_blocks(queries, row_bytes, search), k)

@@ -27,7 +27,7 @@ def absent_rows(batch: DataFrame, target: DataFrame, key: str, order: list[str])
     Only the key column of the target is read. It is first reduced to the batch's keys, which are broadcast while
     they are few, so that the table is scanned but not shuffled.
     """
-    fresh = keep_first_by_key(batch, key, order)
+    fresh = cut(keep_first_by_key(batch, key, order))
     taken = target.select(key).join(small_side(fresh.select(key)), key, "left_semi")
     return fresh.join(taken, key, "left_anti")
 

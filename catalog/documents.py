@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from articleflow import constants as C
 from articleflow.functions import text as X
 from articleflow.operators import chunking, dedup, embedding, tables
-from articleflow.session import scratch
+from articleflow.session import cut, scratch
 from catalog import sql as S
 from catalog.registry import doc_articles, query, table
 
@@ -18,6 +18,11 @@ def keyed_chunks(spark, sf_dir):
     return pieces.withColumn("chunk_key", X.chunk_key(F.col("url"), F.col("chunk_id")))
 
 
+def stored_chunks(spark, sf_dir):
+    """The chunk table without embeddings, written once per query."""
+    return cut(keyed_chunks(spark, sf_dir).select("chunk_key", "chunk_id", "text", "article_id", "url"))
+
+
 def micro(vector):
     """Embedding as millionths, a text that is equal wherever the floats are."""
     return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")

@@ -8,15 +8,13 @@ from articleflow import constants as C
 from articleflow.operators import contexts, embedding, retrieval
 from articleflow.plans.answer import Corpus, local_hits
 from catalog import sql as S
-from catalog.documents import keyed_chunks
+from catalog.documents import keyed_chunks, stored_chunks
 from catalog.registry import doc_articles, query, requests, table
 
 
 def corpus(spark, sf_dir, external=None, pages=None):
     """Embedded chunk table over all documents."""
-    chunks = embedding.embed_chunks(keyed_chunks(spark, sf_dir)).select(
-        "chunk_key", "chunk_id", "text", "embedding", "article_id", "url"
-    )
+    chunks = embedding.embed_chunks(stored_chunks(spark, sf_dir))
     return Corpus(chunks, doc_articles(spark, sf_dir), external or {}, pages)
 
 
@@ -67,7 +65,7 @@ def keyword_index(spark, sf_dir):
 @query("keyword_topk", f"""WITH {S.DOCS},{S.CHUNKS},{S.REQUESTS},{S.bm25(10)}
 SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM keyword""")
 def keyword_topk(spark, sf_dir):
-    return retrieval.keyword_topk(requests(spark, sf_dir), keyed_chunks(spark, sf_dir))
+    return retrieval.keyword_topk(requests(spark, sf_dir), stored_chunks(spark, sf_dir))
 
 
 @query("rrf_fusion", f"""WITH {S.DOCS},{S.CHUNKS},{S.REQUESTS},{S.hybrid(10)}
