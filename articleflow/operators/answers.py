@@ -13,6 +13,7 @@ from articleflow import constants as C
 from articleflow.functions import text as X
 from articleflow.operators.joins import first_per_key, salted_join, small_side
 from articleflow.operators.routing import intent
+from articleflow.session import once
 
 RESPONSE_FIELDS = ("answer", "sources", "used_realtime", "reranked", "local_results_count", "query_processed")
 
@@ -66,7 +67,7 @@ def answer_rows(contexts: DataFrame, load: Callable[[], Callable[[list[str]], li
             for prompts in batches:
                 yield pd.Series(model(prompts.tolist()))
 
-        answer = generate(F.col("prompt"))
+        answer = once(generate)(F.col("prompt"))
     blank = X.strip(F.coalesce("context", F.lit(""))) == ""
     rows = contexts if load is None else prompt_rows(contexts)
     return rows.select(

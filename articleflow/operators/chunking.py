@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow import constants as C
+from articleflow.session import once
 
 
 def split_spans(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
@@ -74,8 +75,8 @@ def chunk_recursive(articles: DataFrame, text: str = "content", size: int = C.CH
     def split(batch: pd.Series) -> pd.Series:
         return batch.map(lambda t: split_spans(t, size, overlap, marks) if t else [])
 
-    pieces = articles.withColumn("_chunks", split(F.col(text)))
-    return explode_chunks(drop_unchunkable(pieces, "_chunks").drop(text), "_chunks")
+    pieces = articles.withColumn("_chunks", once(split)(F.col(text))).drop(text)
+    return explode_chunks(pieces, "_chunks")
 
 
 def chunk_fixed(articles: DataFrame, text: str = "content", size: int = C.CHUNK_SIZE,
@@ -84,8 +85,9 @@ def chunk_fixed(articles: DataFrame, text: str = "content", size: int = C.CHUNK_
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(step))
     windows = F.transform(starts, lambda o: F.substring(F.col(text), o + 1, F.lit(size)))
-    pieces = articles.withColumn("_chunks", F.filter(windows, lambda w: F.trim(w) != ""))
-    return explode_chunks(drop_unchunkable(pieces, "_chunks").drop(text), "_chunks")
+    # Exploded where it is computed: over a column, the planner would add a size filter that computes it again.
+    chunks = F.posexplode(F.filter(windows, lambda w: F.trim(w) != "")).alias("chunk_id", "text")
+    return articles.select(*[c for c in articles.columns if c != text], chunks)
 
 
 def drop_unchunkable(articles: DataFrame, chunks: str = "chunks") -> DataFrame:
@@ -93,7 +95,7 @@ def drop_unchunkable(articles: DataFrame, chunks: str = "chunks") -> DataFrame:
 
 
 def explode_chunks(articles: DataFrame, chunks: str = "chunks") -> DataFrame:
-    """(article, array of chunks) to one row per chunk."""
+    """(article, array of chunks) to one row per chunk; articles without chunks drop out."""
     others = [c for c in articles.columns if c != chunks]
     return articles.select(*others, F.posexplode(chunks).alias("chunk_id", "text"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from articleflow import constants as C
 from articleflow.functions import text as X
 from articleflow.operators.joins import HOT_ROWS, salted_join, small_side
-from articleflow.session import cut
+from articleflow.session import cut, once
 
 _PRIME = (1 << 61) - 1
 _MAX_HASH = (1 << 32) - 1
@@ -88,7 +88,7 @@ def minhash_signature(articles: DataFrame, num_perm: int = C.NUM_PERM, size: int
             starts = np.arange(len(rows) + 1, dtype=np.int32) * num_perm
             yield pa.ListArray.from_arrays(pa.array(starts), pa.array(rows.ravel()))
 
-    return articles.withColumn("signature", sign(article_text()))
+    return articles.withColumn("signature", once(sign)(article_text()))
 
 
 def lsh_bands(signed: DataFrame, bands: int = C.LSH_BANDS, rows: int = C.LSH_ROWS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow import constants as C
+from articleflow.session import once
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -67,7 +68,7 @@ def embed_chunks(chunks: DataFrame, load: Callable[[], Embedder] | None = None,
             starts = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
             yield pa.ListArray.from_arrays(pa.array(starts), pa.array(vectors.ravel()))
 
-    return chunks.withColumn(output, embed(F.col(text)))
+    return chunks.withColumn(output, once(embed)(F.col(text)))
 
 
 def mock_embedding(dim: int = C.EMBEDDING_DIM) -> Column:

@@ -15,7 +15,9 @@ def normalize_articles(entries: DataFrame, as_of: Column) -> DataFrame:
     """Feed entries (feed_url, link, title, summary, author, published, tags) to article records.
 
     The word count is taken on the raw summary, the content is its text. A present but empty tag list stays empty.
+    Further columns of the entries, such as their position in the feed, are kept.
     """
+    known = ("feed_url", "link", "title", "summary", "author", "published", "tags")
     summary = F.coalesce(F.col("summary"), F.lit(""))
     return entries.select(
         X.url_uuid(F.col("link")).alias("article_id"),
@@ -28,6 +30,7 @@ def normalize_articles(entries: DataFrame, as_of: Column) -> DataFrame:
         as_of.alias("scraped_at"),
         F.coalesce(F.col("tags"), F.array(F.lit(C.DEFAULT_CATEGORY))).alias("categories"),
         F.struct(F.size(X.words(summary)).alias("word_count")).alias("metadata"),
+        *[c for c in entries.columns if c not in known],
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from articleflow import constants as C
 from articleflow.functions import text as X
 from articleflow.operators.joins import first_per_key, small_side
-from articleflow.session import cut
+from articleflow.session import cut, once
 
 DECIMALS = 6
 # Queries are sent to every task in blocks of at most this many bytes; more queries mean more passes.
@@ -153,11 +153,11 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = C.SEARCH_LIMIT,
 
 def keyword_index(chunks: DataFrame, key: str = "chunk_key") -> DataFrame:
     """Postings (term, chunk, tf, chunk_len): the stored form of the keyword index."""
-    listed = chunks.select(key, X.tokens(F.col("text")).alias("_tokens"))
-    return (
-        listed.select(key, F.size("_tokens").alias("chunk_len"), F.explode("_tokens").alias("term"))
-        .groupBy("term", key, "chunk_len").agg(F.count("*").alias("tf"))
-    )
+    def with_length(terms: Column) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(terms).alias("chunk_len")))
+
+    listed = chunks.select(key, F.explode(X.bind(X.tokens(F.col("text")), with_length)).alias("t"))
+    return listed.groupBy("t.term", key, "t.chunk_len").agg(F.count("*").alias("tf"))
 
 
 def _code_rows(tokens: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -310,7 +310,7 @@ def rerank_topn(hits: DataFrame, top_n: int = C.RERANKED,
             for queries, texts in batches:
                 yield pd.Series(np.asarray(model(queries.tolist(), texts.tolist()), dtype=float))
 
-        score = rescore(F.col("query"), F.col("text"))
+        score = once(rescore)(F.col("query"), F.col("text"))
     scored = usable.withColumn("rerank_score", score).drop("rank")
     return first_per_key(scored, ["query_id"], [F.col("rerank_score").desc(), F.col("id").asc()], top_n, "rank")
 

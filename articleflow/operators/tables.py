@@ -84,7 +84,8 @@ def upsert_into(batch: DataFrame, path: str, key: str, order: list[Column], part
     )
     # One value per touched partition, which prunes the read as literals.
     touched = [row[0] for row in placed.select(part).distinct().collect()]
-    merged = upsert(placed, table.filter(F.col(part).isin(touched)), key, [F.lit(0)])
+    kept = table.filter(F.col(part).isin(touched)).join(small_side(placed.select(key)), key, "left_anti")
+    merged = kept.unionByName(placed)
     # Rebalancing splits large and merges small output partitions by size.
     (
         merged.hint("rebalance", part)

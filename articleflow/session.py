@@ -63,6 +63,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(udf):
+    """Keep the planner from evaluating an expensive Python function a second time in a pushed-down filter."""
+    return udf.asNondeterministic()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give CPU-heavy row work enough tasks when a scanned table has fewer splits than the cluster has cores.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from articleflow.functions import text as X
 from articleflow.schemas import ATOM_ENTRY, FEED_ITEM
 
-ENTRY_COLUMNS = ("feed_url", "link", "title", "summary", "author", "published", "tags")
+
 
 
 def rss_entries(spark: SparkSession, path: str, feed_url: str) -> DataFrame:

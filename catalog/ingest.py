@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from articleflow import constants as C
 from articleflow.operators import normalize, stats, tables
+from articleflow.plans import ingest as plan
 from articleflow.session import scratch
 from articleflow.sources import feeds, logs, topics
 from catalog import sql as S
@@ -29,6 +30,16 @@ def normalize_articles(spark, sf_dir):
     )
 
 
+@query("ingest_entries", f"""WITH {S.KEPT_PAGES}
+SELECT article_id, url, title, source FROM docs WHERE doc_id IN (FROM kept)""")
+def ingest_entries(spark, sf_dir):
+    entries = feeds.page_entries(spread_table(spark, sf_dir, "pages"))
+    articles, chunks = plan.ingest_entries(entries, as_of(), ["page_id"])
+    # Every article of this table has text, so each one shows up in the chunk table.
+    chunked = chunks.select("article_id").distinct()
+    return articles.join(chunked, "article_id", "left_semi").select("article_id", "url", "title", "source")
+
+
 @query("unwrap_envelope", f"""WITH {S.DOCS}
 SELECT article_id, CASE WHEN title = 'es' THEN '{C.DEFAULT_TITLE}' ELSE title END AS title, source,
   md5(content) AS content_md5, CASE WHEN title = 'en' THEN 1 ELSE 0 END AS n_chunks

@@ -121,7 +121,11 @@ und{r + 1} AS MATERIALIZED (FROM und{r} WHERE doc_id NOT IN (FROM win{r}) AND do
 
 
 # The filter's fixpoint, six rounds unrolled (the given tables settle within three).
-KEPT = f"{DOCS},{SHINGLES},{SIGNATURES},{SLOTS},{_rounds(6)}"
+_FILTER = f"{SHINGLES},{SIGNATURES},{SLOTS},{_rounds(6)}"
+KEPT = f"{DOCS},{_FILTER}"
+# The same filter over pages.
+KEPT_PAGES = f"""{PAGES},
+docs AS MATERIALIZED (SELECT page_id AS doc_id, article_id, url, title, content, source FROM arts),{_FILTER}"""
 
 # ------------------------------------------------------------------ retrieval
 
