@@ -69,13 +69,22 @@ def lcs(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("text", ["anthriopc", "tellmeaboutanthriopc", "opnai", "claud", "mistrl", "xyz", "", "chatgp"])
-@pytest.mark.parametrize("term", ["anthropic", "openai", "claude", "chatgpt", "mistral"])
-def test_indel_ratio(spark, text, term):
-    got = value(spark, fuzzy.indel_ratio(F.col("x"), term), text)
-    assert got == pytest.approx(2 * lcs(text, term) / (len(text) + len(term)))
-    exact = value(spark, fuzzy.fuzzy_match(fuzzy.bare(F.col("x")), term), text)
-    assert exact == (bool(text) and (text in term or term in text or got >= 0.6))
+TERMS = ("anthropic", "openai", "claude", "chatgpt", "mistral")
+
+
+def test_indel_ratio(spark):
+    texts = ["anthriopc", "tellmeaboutanthriopc", "opnai", "claud", "mistrl", "xyz", "", "chatgp", "anthropics", "ai"]
+    frame = spark.createDataFrame([(t,) for t in texts], "x string")
+    rows = frame.select("x", *[F.struct(
+        fuzzy.indel_ratio(F.col("x"), t).alias("ratio"), fuzzy.fuzzy_match(fuzzy.bare(F.col("x")), t).alias("match")
+    ).alias(t) for t in TERMS]).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        for term in TERMS:
+            ratio = 2 * lcs(row["x"], term) / (len(row["x"]) + len(term))
+            inside = bool(row["x"]) and (row["x"] in term or term in row["x"])
+            assert row[term]["ratio"] == pytest.approx(ratio)
+            assert row[term]["match"] == (inside or ratio >= 0.6)
 
 
 @pytest.mark.parametrize("text, score", [("anthriopc", 6 / 9), ("anth", 1.0), ("zzz", 0.0), ("apx", 2 / 3), (" ", 0.0)])
