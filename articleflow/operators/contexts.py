@@ -33,10 +33,13 @@ def build_context(hits: DataFrame) -> DataFrame:
 
 def web_context(hits: DataFrame) -> DataFrame:
     """(query_id, context, sources) of enriched external hits: numbered blocks and ``source - link`` labels."""
+    def text(name: str) -> Column:
+        return F.coalesce(name, F.lit(""))
+
     block = F.concat(
-        F.lit("[Article "), F.col("ordinal").cast("string"), F.lit("]\nTitle: "), "title",
-        F.lit("\nSource: "), "source", F.lit("\nLink: "), "link",
-        F.lit("\nContent: "), F.substring("content", 1, C.CONTEXT_BODY_CHARS), F.lit("...\n"),
+        F.lit("[Article "), F.col("ordinal").cast("string"), F.lit("]\nTitle: "), text("title"),
+        F.lit("\nSource: "), text("source"), F.lit("\nLink: "), text("link"),
+        F.lit("\nContent: "), F.substring(text("content"), 1, C.CONTEXT_BODY_CHARS), F.lit("...\n"),
     )
     label = F.concat_ws(" - ", "source", "link")
     listed = hits.withColumn("_block", block).withColumn("_label", label).groupBy("query_id").agg(

@@ -121,7 +121,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = C.SEARCH_LIMIT,
     sc = chunks.sparkSession.sparkContext
 
     def search(block: DataFrame) -> DataFrame:
-        sent = block.select("query_id", "embedding").toArrow()
+        sent = block.filter("embedding is not null").select("query_id", "embedding").toArrow()
         matrix = np.array(sent["embedding"].to_pylist(), dtype=np.float64)
         if not len(matrix):
             return chunks.sparkSession.createDataFrame([], schema)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +51,25 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+_space: ContextVar[str | None] = ContextVar("scratch_space", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new, unused path below the shared folder (or below the active ``scratch_space``)."""
+    return os.path.join(_space.get() or shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end: a stream's micro-batches leave nothing behind."""
+    path = os.path.join(shared_dir(spark), f"space-{uuid.uuid4().hex}")
+    token = _space.set(path)
+    try:
+        yield
+    finally:
+        _space.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from articleflow.operators.chunking import chunk_recursive
 from articleflow.operators.embedding import Embedder, embed_chunks
 from articleflow.operators.normalize import article_rows
 from articleflow.operators.tables import append_absent, upsert_into
-from articleflow.session import cut
+from articleflow.session import cut, scratch_space
 from articleflow.streaming.dedup import near_dup_batch
 
 INGEST_PERIOD = "30 minutes"
@@ -67,7 +67,8 @@ def start_ingest(messages: DataFrame, stores: Stores, order: list[str] | None =
     sequence = order or ["scraped_at", "article_id"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(cut(batch), batch_id, stores, sequence, now, load)
+        with scratch_space(batch.sparkSession):
+            ingest_batch(cut(batch), batch_id, stores, sequence, now, load)
 
     writer = messages.writeStream.foreachBatch(step).option("checkpointLocation", stores.checkpoints)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INGEST_PERIOD)).start()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from articleflow.operators import answers, hits, normalize, tables
+from articleflow.session import shared_dir
 from articleflow.sources import feeds, topics
 from articleflow.streaming import dedup, ingest
 
@@ -197,5 +198,7 @@ def test_stream_from_files(spark, root):
         return sorted(r["url"] for r in spark.read.parquet(stores.articles).collect())
 
     assert run() == ["u/a", "u/b"]
+    left = [name for name in os.listdir(shared_dir(spark)) if name.startswith("space-")]
+    assert left == []  # the micro-batch removed its scratch tables
     articles(spark, ("c", ONE, 2), ("d", THREE, 3)).select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(landing)
     assert run() == ["u/a", "u/b", "u/d"]
