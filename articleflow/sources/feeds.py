@@ -9,8 +9,6 @@ from articleflow.functions import text as X
 from articleflow.schemas import ATOM_ENTRY, FEED_ITEM
 
 
-
-
 def rss_entries(spark: SparkSession, path: str, feed_url: str) -> DataFrame:
     """``<item>`` elements of RSS files."""
     items = spark.read.format("xml").schema(FEED_ITEM).option("rowTag", "item").load(path)
