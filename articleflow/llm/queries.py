@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from articleflow.llm import packing, token_index
+from articleflow.llm import decontam, line_dedup, near_dup, packing, sql, token_index
 from articleflow.session import scratch
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_line_dedup", sql.LINE_DEDUP)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 @query("op3_token_index")
 def op3_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -39,3 +45,14 @@ def op3_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.packed(table(spark, sf_dir, "documents")))
+
+
+@query("op7_near_dup", sql.NEAR_DUP)
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup_components(table(spark, sf_dir, "documents"), size=2)
+
+
+@query("op8_decontamination", sql.DECONTAMINATION)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(
+        decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
