@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,3 +57,11 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         size += len(text)
     if part:
         yield start, part
+
+
+def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave when this worker process first asked for ``name``: costly tools outlive a task."""
+    home = sys.modules.setdefault("articleflow_worker", types.ModuleType("articleflow_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import text_slices
-from articleflow.llm.encoder import Encoder, vocabulary_path
+from articleflow.llm.encoder import vocabulary_path, worker_encoder
 
 CONTEXT = 1024
 TIERS = (128, 256, 512, 1024)
@@ -104,7 +104,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(where)
+        encoder = worker_encoder(where)
         end = np.array([end_id], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         keys: list = []

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from articleflow.llm import decontam, line_dedup, near_dup, packing, sql, token_index
+from articleflow.llm import (
+    ann, chat, decontam, licenses, line_dedup, lm, near_dup, packing, sql, token_index, toxicity,
+)
 from articleflow.session import scratch
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_licenses", sql.licenses())
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op2_line_dedup", sql.LINE_DEDUP)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +54,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.packed(table(spark, sf_dir, "documents")))
 
 
+@query("op5_nearest")
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, network).drop("text_hash")
+
+
 @query("op7_near_dup", sql.NEAR_DUP)
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup_components(table(spark, sf_dir, "documents"), size=2)
@@ -56,3 +75,17 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(
         decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op9_lm_score")
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op10_chat_tree")
+def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.formatted_conversations(turns.unionByName(extra))[1]

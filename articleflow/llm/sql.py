@@ -1,5 +1,7 @@
 """DuckDB twins of the queries that SQL can express. They follow the definitions, not the operators' steps."""
 
+from articleflow.llm.licenses import RULES, SENTENCES
+
 _ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 LINE_DEDUP = r"""
@@ -105,3 +107,43 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hit USING (k) LEFT JOIN named USING (k)
 """
+
+
+def licenses() -> str:
+    """Sentences against the list of wordings; rules one after the other on the chain of identifiers."""
+    wordings = ", ".join(f"('{wording}', '{sid}')" for wording, sid in {w: s for s, w in SENTENCES}.items())
+    steps, last = [], "chains"
+    for nth, (_, rule) in enumerate(RULES):
+        pattern = "".join(f"<{i}>" for i in rule)
+        steps.append(
+            f"step_{nth} AS (SELECT * REPLACE (replace(chain, '{pattern}', '#') AS chain), "
+            f"(len(chain) - len(replace(chain, '{pattern}', ''))) // {len(pattern)} AS hits_{nth} FROM {last})")
+        last = f"step_{nth}"
+    names = list(dict.fromkeys(name for name, _ in RULES))
+    found = ", ".join(
+        "CASE WHEN " + " + ".join(f"hits_{i}" for i, (n, _) in enumerate(RULES) if n == name) + f" > 0 THEN '{name}' END"
+        for name in names)
+    return rf"""
+WITH wordings(wording, sid) AS (VALUES {wordings}),
+rows AS (SELECT row_number() OVER () AS k, doc_id, list_filter(list_transform(
+  string_split_regex(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t\r\n\f]+', '\1' || chr(10), 'g'), '[\r\n]+'),
+  lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS normal FROM documents),
+places AS (SELECT k, unnest(normal) AS sentence, unnest(range(len(normal))) AS i FROM rows),
+named AS (
+  SELECT k, i, coalesce(sid, CASE WHEN regexp_matches(sentence, '^copyright (c )?[0-9]{{4}}.*$') THEN 'copyright' END, '?') AS sid
+  FROM places LEFT JOIN wordings ON sentence = wording
+),
+chains AS (
+  SELECT k, string_agg(sid, ',' ORDER BY i) FILTER (WHERE sid <> '?') AS sentence_ids,
+         coalesce(string_agg(CASE WHEN sid = '?' THEN '#' ELSE '<' || sid || '>' END, '' ORDER BY i)
+           FILTER (WHERE sid <> 'copyright'), '') AS chain
+  FROM named GROUP BY k
+),
+{", ".join(steps)}
+SELECT doc_id, len(normal)::BIGINT AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
+       concat_ws(',', {found}) AS licenses,
+       coalesce({" + ".join(f"hits_{i}" for i in range(len(RULES)))}, 0)::BIGINT AS n_matches,
+       coalesce(array_to_string(list_filter(string_split(regexp_replace(chain, '[#<]+', '', 'g'), '>'),
+         lambda i: i <> ''), ','), '') AS unmatched
+FROM rows LEFT JOIN {last} USING (k)
+"""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import text_slices
-from articleflow.llm.encoder import Encoder, vocabulary_path
+from articleflow.llm.encoder import vocabulary_path, worker_encoder
 from articleflow.session import cut
 
 END_ID = 2
@@ -194,7 +194,7 @@ def write_store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
     width = 2 if _largest_id(where, end_id) < 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(where)
+        encoder = worker_encoder(where)
         end = np.array([end_id], dtype="<u4").tobytes()
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids"

@@ -1,25 +1,68 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again for the next one."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again for the next one.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from articleflow.llm import packing
+from articleflow.llm import decontam, line_dedup, near_dup, packing, toxicity
+from articleflow.llm.common import fresh
 from articleflow.session import cut
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, does not predict as toxic."""
+    network = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, network)
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stood earlier; one that has nothing else left goes.
+
+    ``n_chars``, where there is one, follows the text.
+    """
+    (mark,) = fresh(docs, "n_removed_lines")
+    done = line_dedup.dedup_lines(docs)
+    touched = F.col(mark) > 0
+    done = done.filter(~touched | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        done = done.withColumn("n_chars", F.when(touched, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
+def remove_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    return near_dup.drop_near_dups(docs, size=5, percent=80)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in passages of the benchmark."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of at most 1024 tokens."""
+    """Windows of at most 1024 tokens, one row per piece."""
     return packing.piece_digest(packing.packed(docs))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", remove_repeated_lines),
+    ("near-duplicates", remove_near_dups),
+    ("decontamination", remove_contaminated),
+    ("packing", pack),
+]
 
+# Trained weights decide the first stage, and tokens the last: SQL expresses neither.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; the result of the last one."""
+    """All stages in order; the rows of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
