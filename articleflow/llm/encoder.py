@@ -61,22 +61,27 @@ class Encoder:
         """Ids of each text, without any end mark."""
         if len(self._inner) + len(self._first) > self._limit:
             self._inner, self._first = {}, {"": b""}
-        split: list[list[str]] = []
+        heads, tails = [], []
         for text in texts:
-            plain = " ".join(text.split()) == text.replace("\n", " ")
-            split.append(text.replace("\n", " \n").split(" ") if plain else [text])
+            words = text.split()
+            if " ".join(words) == text.replace("\n", " "):
+                pieces = text.replace("\n", " \n").split(" ") if "\n" in text else words or [""]
+            else:
+                pieces = [text]
+            heads.append(pieces[0])
+            del pieces[0]
+            tails.append(pieces)
         inner, first = self._inner, self._first
-        new = {piece for pieces in split for piece in pieces[1:] if piece not in inner}
+        new = list(set().union(*tails).difference(inner))
         if new:
-            words = list(new)
-            inner.update(zip(words, self._joined([w if w[0] == "\n" else " " + w for w in words])))
-        new = {pieces[0] for pieces in split if pieces[0] not in first}
-        heads = dict(zip(new, self._single(list(new))))
-        first.update((k, v) for k, v in heads.items() if len(k) < 100)
-        heads[""] = b""
+            inner.update(zip(new, self._joined([w if w[0] == "\n" else " " + w for w in new])))
+        new = list(set(heads).difference(first))
+        found = dict(zip(new, self._single(new)))
+        # Long pieces are whole texts with other white space: not worth remembering.
+        first.update((piece, ids) for piece, ids in found.items() if len(piece) < 100)
         return [
-            (heads[pieces[0]] if pieces[0] in heads else first[pieces[0]]) + b"".join([inner[p] for p in pieces[1:]])
-            for pieces in split
+            (first[head] if head in first else found[head]) + b"".join(map(inner.__getitem__, tail))
+            for head, tail in zip(heads, tails)
         ]
 
 
