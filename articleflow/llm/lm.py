@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,7 @@ class Vocabulary:
 
     def codes(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the list or -1, class, context code) of tokens."""
-        get = self.index.get
-        place = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+        place = np.array(list(map(self.index.get, found, repeat(-1))), dtype=np.int64)
         group = place >= SINGLE
         foreign = np.flatnonzero(place < 0)
         cls, context = place.copy(), place.copy()
@@ -127,10 +127,13 @@ class Model:
         out = np.empty(len(classes), dtype=np.float64)
         for at in range(0, len(classes), 8192):
             scores = self.hidden(contexts[at:at + 8192]) @ self.output.T + self.bias
-            scores -= scores.max(axis=1, keepdims=True)
             own = scores[np.arange(len(scores)), classes[at:at + 8192]]
-            np.exp(scores, out=scores)
-            out[at:at + 8192] = (own - np.log(scores.sum(axis=1))) / np.log(10)
+            total = np.exp(scores).sum(axis=1)
+            if not (np.isfinite(total).all() and total.min() > 1e-30):
+                # Scores far from zero: shift them.
+                shift = scores.max(axis=1)
+                own, total = own - shift, np.exp(scores - shift[:, None]).sum(axis=1)
+            out[at:at + 8192] = (own - np.log(total)) / np.log(10)
         return out
 
 
@@ -184,9 +187,9 @@ class Trainer:
 
 def _stream(texts: list[str], vocabulary: Vocabulary):
     """(words with ends, list places, classes, contexts, token counts) of several texts together."""
-    listed = [words(text) for text in texts]
-    counts = np.array([len(found) + 1 for found in listed], dtype=np.int64)
-    flat = [w for found in listed for w in (*found, END)]
+    listed = [words(text) + [END] for text in texts]
+    counts = np.array([len(found) for found in listed], dtype=np.int64)
+    flat = list(chain.from_iterable(listed))
     place, cls, code = vocabulary.codes(flat)
     starts = np.repeat(np.cumsum(counts) - counts, counts)
     at = np.arange(len(flat))
