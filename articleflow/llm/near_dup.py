@@ -13,7 +13,9 @@ Groups are found without pairing bucket members:
    against it on full sets;
 4. verified links give components; a bucket whose members all share one needs no more work;
 5. in the remaining buckets, members of different components are compared by sketch, in blocks, each pair in the
-   first band where it meets; what could reach the threshold is verified on full sets too, and components are final.
+   first band where it meets; inside the task, pairs that could reach the threshold are verified on full sets, the
+   likeliest first, and a pair that verified ones have joined meanwhile needs no more. Only links leave the task, and
+   components are final.
 
 So each pair that meets in a bucket and could be linked is either verified or already joined by other links.
 """
@@ -145,24 +147,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(sized.filter(F.when(bound, 100 * shared >= percent * (total - shared)).otherwise(False)).select("a", "b"))
 
 
-def _met_in_rest(members: DataFrame, sketched: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches agree in at least ``least`` coordinates.
+def _links_in_rest(members: DataFrame, sketched: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links between different components of one bucket, as many as join what can be joined.
 
-    Members of a bucket are dealt to blocks, and every two blocks are compared in one task; a pair counts only in the
-    first band where it meets, and only such pairs leave the task.
+    Members of a bucket are dealt to blocks, and every two blocks are compared in one task. A pair is looked at in the
+    first band where it meets, and verified on full sets if its sketches agree in at least ``least`` coordinates.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sketched.select("cls", "n_shingles", "sketch"), "cls")
+    dealt = dealt.join(sketched.select("cls", "n_shingles", "sketch"), "cls").join(sets, "cls")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                         "own", "cls", "comp", "n_shingles", "sketch")
+                         "own", "cls", "comp", "n_shingles", "sketch", "shingles")
 
-    def compare(group: pa.Table) -> pa.Table:
+    def link(group: pa.Table) -> pa.Table:
         band, lo, hi = (group[c][0].as_py() for c in ("band", "lo", "hi"))
         own, cls, comp, n = (group[c].to_numpy() for c in ("own", "cls", "comp", "n_shingles"))
         rows = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype="<u2").reshape(-1, SKETCH)
-        lows, highs = [], []
+        full = group["shingles"].combine_chunks()
+        ends, flat = full.offsets.to_numpy(), full.values.to_numpy()
+        pairs: list[np.ndarray] = []
         for i in np.flatnonzero(own == lo):
             others = np.flatnonzero(own == hi)
             if lo == hi:
@@ -172,14 +176,30 @@ def _met_in_rest(members: DataFrame, sketched: DataFrame, least: int, percent: i
             if not len(others):
                 continue
             equal = rows[others] == rows[i]
-            earlier = equal.reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
-            hit = others[(equal.sum(axis=1) >= least) & ~earlier]
-            lows.append(np.minimum(cls[hit], cls[i]))
-            highs.append(np.maximum(cls[hit], cls[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(lows) if lows else none, "b": np.concatenate(highs) if highs else none})
+            agreed = equal.sum(axis=1)
+            met = (agreed >= least) & ~equal.reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
+            pairs.append(np.stack([np.full(met.sum(), i), others[met], agreed[met]], axis=1))
+        above: dict[int, int] = {}
+
+        def root(name: int) -> int:
+            while name in above:
+                name = above[name]
+            return name
+
+        found = []
+        every = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        for i, j, _ in every[np.argsort(-every[:, 2], kind="stable")].tolist():
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a == b:
+                continue
+            shared = len(np.intersect1d(flat[ends[i]:ends[i + 1]], flat[ends[j]:ends[j + 1]], assume_unique=True))
+            if 100 * shared >= percent * (int(n[i]) + int(n[j]) - shared):
+                above[max(a, b)] = min(a, b)
+                found.append((int(cls[i]), int(cls[j])))
+        left, right = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return cut(dealt.groupBy("band", "bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct())
+    return cut(dealt.groupBy("band", "bucket", "lo", "hi").applyInArrow(link, "a long, b long"))
 
 
 def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -230,9 +250,10 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = salted_join(labelled, mixed, ["band", "bucket"], ["cls"]).drop("mixed")
     share = percent / 100
     least = int(np.floor(SKETCH * share - SLACK * np.sqrt(SKETCH * share * (1 - share))))
-    more = _verified(_met_in_rest(rest, sketched, least, percent), sets, percent)
+    more = _links_in_rest(rest, sketched, sets, least, percent)
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        links = cut(links.unionByName(more))
+        found = components(links)
 
     # Back to documents: the smallest id of all classes of a component. Rows with one id are one document.
     twins = signed.filter("set_key is not null and doc_id is not null").join(classes.select("set_key", "cls"), "set_key")
@@ -242,7 +263,7 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = cut(several)
     if not several.isEmpty():
         same = twins.join(several.select("doc_id", F.col("a").alias("low")), "doc_id").filter("cls <> low")
-        every = links.unionByName(more).unionByName(same.select(F.col("low").alias("a"), F.col("cls").alias("b")))
+        every = links.unionByName(same.select(F.col("low").alias("a"), F.col("cls").alias("b")))
         names = classes.join(components(cut(every)).withColumnRenamed("node", "cls"), "cls", "left").withColumn(
             "comp", F.coalesce("component", "cls"))
     smallest = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
