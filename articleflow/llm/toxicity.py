@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +36,7 @@ EPOCHS, BATCH, RATE = 8, 128, 0.01
 # Words whose input a task remembers; it starts anew when it is full.
 MEMORY_WORDS = 200_000
 # Windows that run through the network together.
-STEP_WINDOWS = 4096
+STEP_WINDOWS = 2048
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,11 +64,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """Words met so far: their rows and n-gram rows as flat arrays."""
+    """Words met so far: their rows, and their n-gram rows one after the other."""
 
     index: dict[str, int] = field(default_factory=dict)
-    rows: list[int] = field(default_factory=list)
-    grams: list[list[int]] = field(default_factory=list)
+    rows: array = field(default_factory=lambda: array("i"))
+    grams: array = field(default_factory=lambda: array("i"))
+    lengths: array = field(default_factory=lambda: array("i"))
 
     def ids(self, found: list[str]) -> np.ndarray:
         index = self.index
@@ -76,7 +78,8 @@ class Lexicon:
                 index[word] = len(index)
                 row, grams = features(word)
                 self.rows.append(row)
-                self.grams.append(grams)
+                self.grams.extend(grams)
+                self.lengths.append(len(grams))
         return np.fromiter((index[w] for w in found), np.int64, len(found))
 
 
@@ -95,9 +98,8 @@ class Network:
         self.calibration = (1.0, 0.0)
         self.empty = 0.0
 
-    def word_inputs(self, rows: np.ndarray, grams: list[list[int]]) -> np.ndarray:
-        lengths = np.array([len(g) for g in grams], dtype=np.int64)
-        flat = np.array([i for g in grams for i in g], dtype=np.int64)
+    def word_inputs(self, rows: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Inputs of words: own vector, and the n-gram vectors (``flat``, ``lengths`` per word) pooled."""
         starts = np.cumsum(lengths) - lengths
         pooled = np.add.reduceat(self.p["gram"][flat], starts, axis=0) / np.sqrt(lengths)[:, None].astype(np.float32)
         return np.concatenate([self.p["word"][rows], pooled], axis=1)
@@ -219,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     target = np.array([r["_label"] for r in found], dtype=np.float32)
     if not len(target) or target.min() == target.max():
         return network
-    _learn(network, [words(r["_text"]) for r in found], target, share)
+    _learn(network, [r["_text"] for r in found], target, share)
     return network
 
 
@@ -235,20 +237,19 @@ def _windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.array(parts).reshape(-1, WINDOW), np.array(lengths), np.array(owner)
 
 
-def _learn(network: Network, texts: list[list[str]], target: np.ndarray, share: float) -> None:
+def _learn(network: Network, texts: list[str], target: np.ndarray, share: float) -> None:
     rng = np.random.default_rng(17)
     lexicon = Lexicon()
-    ids = [lexicon.ids(found) for found in texts]
-    rows = np.array(lexicon.rows, dtype=np.int64)
+    ids = [lexicon.ids(words(text)).astype(np.int32) for text in texts]
+    rows, gram_flat = np.array(lexicon.rows, dtype=np.int64), np.array(lexicon.grams, dtype=np.int64)
+    gram_sizes = np.array(lexicon.lengths, dtype=np.int64)
+    bounds = np.concatenate([[0], np.cumsum(gram_sizes)])
     padded, lengths, owner = _windows(ids)
     some = lengths > 0
     padded, lengths, owner = padded[some], lengths[some], owner[some]
 
     # Which words speak for a label, by the texts they occur in.
-    gram_owner = np.repeat(np.arange(len(lexicon.grams)), [len(g) for g in lexicon.grams])
-    gram_flat = np.array([i for g in lexicon.grams for i in g], dtype=np.int64)
     texts_with = {kind: np.zeros((2, size)) for kind, size in (("word", WORD_ROWS), ("gram", GRAM_ROWS))}
-    bounds = np.searchsorted(gram_owner, np.arange(len(lexicon.grams) + 1))
     for listed, label in zip(ids, target.astype(int)):
         distinct = np.unique(listed)
         texts_with["word"][label][np.unique(rows[distinct])] += 1
@@ -266,7 +267,8 @@ def _learn(network: Network, texts: list[list[str]], target: np.ndarray, share:
     value = speaks[padded].sum(axis=1)
 
     def score() -> np.ndarray:
-        gates = network.projected(np.concatenate([network.word_inputs(rows, lexicon.grams), np.zeros((1, 2 * WIDTH), np.float32)]))
+        inputs = network.word_inputs(rows, gram_flat, gram_sizes)
+        gates = network.projected(np.concatenate([inputs, np.zeros((1, 2 * WIDTH), np.float32)]))
         return np.concatenate([network.forward(gates[padded[i:i + STEP_WINDOWS]], lengths[i:i + STEP_WINDOWS])
                                for i in range(0, len(padded), STEP_WINDOWS)])
 
@@ -291,8 +293,9 @@ def _learn(network: Network, texts: list[list[str]], target: np.ndarray, share:
             known = used[1:] if pad else used
             if not len(known):
                 continue
-            grams = [lexicon.grams[i] for i in known]
-            inputs = network.word_inputs(rows[known], grams)
+            sizes_ = gram_sizes[known]
+            grams = np.concatenate([gram_flat[bounds[i]:bounds[i + 1]] for i in known])
+            inputs = network.word_inputs(rows[known], grams, sizes_)
             if pad:
                 inputs = np.concatenate([np.zeros((1, 2 * WIDTH), np.float32), inputs])
             g, d_inputs = network.gradients(inputs, place.reshape(len(some), WINDOW), lengths[some], label_of[some],
@@ -300,9 +303,8 @@ def _learn(network: Network, texts: list[list[str]], target: np.ndarray, share:
             d_inputs = d_inputs[1:] if pad else d_inputs
             g["word"] = np.zeros_like(network.p["word"])
             np.add.at(g["word"], rows[known], d_inputs[:, :WIDTH])
-            sizes_ = np.array([len(x) for x in grams])
             g["gram"] = np.zeros_like(network.p["gram"])
-            np.add.at(g["gram"], np.array([i for x in grams for i in x]),
+            np.add.at(g["gram"], grams,
                       np.repeat(d_inputs[:, WIDTH:] / np.sqrt(sizes_)[:, None], sizes_, axis=0))
             steps += 1
             for name, gradient in g.items():
@@ -347,7 +349,8 @@ class Scorer:
                 grown[:size] = self.gates[:size]
                 self.gates = grown
             self.gates[size:size + len(new)] = self.network.projected(
-                self.network.word_inputs(np.array(rows, dtype=np.int64), list(grams)))
+                self.network.word_inputs(np.array(rows, dtype=np.int64), np.array([i for g in grams for i in g], dtype=np.int64),
+                                         np.array([len(g) for g in grams], dtype=np.int64)))
             self.index.update(zip(new, range(size, size + len(new))))
         index = self.index
         return np.fromiter((index[w] for w in found), np.int64, len(found))
