@@ -65,7 +65,10 @@ def fuzzy_match(q: Column, term: str, threshold: float = C.FUZZY_THRESHOLD) -> C
 
 
 def prefix_score(q: Column, term: str) -> Column:
-    """Share of the bare query's characters found in order in the term; nothing counts after the first miss."""
+    """1.0 on containment either way, else the share of the bare query's characters found in order in the term.
+
+    Nothing counts after the first character that is missing.
+    """
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("hits"))
 
     def fold(state: Column, char: Column) -> Column:
@@ -77,4 +80,5 @@ def prefix_score(q: Column, term: str) -> Column:
         )
 
     hits = F.aggregate(_chars(q), start, fold)["hits"]
-    return F.when(F.coalesce(q, F.lit("")) == "", 0.0).otherwise(hits / F.length(q))
+    contained = F.contains(F.lit(term), q) | F.contains(q, F.lit(term))
+    return F.when(F.coalesce(q, F.lit("")) == "", 0.0).when(contained, 1.0).otherwise(hits / F.length(q))

@@ -43,13 +43,21 @@ def parse_messages(messages: DataFrame, schema: T.StructType = ARTICLE) -> DataF
     )
 
 
-def quarantine_bad_records(messages: DataFrame, schema: T.StructType = ARTICLE) -> tuple[DataFrame, DataFrame]:
-    """(good records, dead letters): malformed messages never stop the flow."""
+def quarantine_bad_records(messages: DataFrame, schema: T.StructType = ARTICLE,
+                           required: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good records, dead letters): malformed messages never stop the flow.
+
+    A record without one of the ``required`` fields is a dead letter too (an article needs its id and url), as are
+    empty messages; every message is in one of the two.
+    """
+    if required is None:
+        required = ("article_id", "url") if schema is ARTICLE else ()
     parsed = parse_messages(messages, schema)
     kept = [f"record.{field.name}" for field in schema.fields]
-    good = parsed.filter(F.col("record").isNotNull() & F.col("_corrupt").isNull()).select(*kept)
-    bad = parsed.filter(F.col("_corrupt").isNotNull()).select("value")
-    return good, bad
+    fine = F.col("record").isNotNull() & F.col("_corrupt").isNull()
+    for name in required:
+        fine &= F.col(f"record.{name}").isNotNull()
+    return parsed.filter(fine).select(*kept), parsed.filter(~fine).select("value")
 
 
 def unwrap_envelope(messages: DataFrame) -> DataFrame:

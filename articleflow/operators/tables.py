@@ -53,44 +53,52 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def append_absent(batch: DataFrame, path: str, key: str, order: list[str], batch_id: int) -> None:
-    """Insert-if-absent into a Parquet table partitioned by ``batch_id``.
+def append_absent(batch: DataFrame, path: str, key: str, order: list[str], batch_id: int, run: str = "run") -> None:
+    """Insert-if-absent into a Parquet table partitioned by ``run`` and ``batch_id``; the first write of a key stays.
 
-    A replayed batch sees only older batches and overwrites its own partition, so the outcome is the same.
+    ``run`` names the stream that counts the batches: another one, as after a fresh checkpoint, starts at 0 again. A
+    replayed batch ignores only what it wrote itself and overwrites that, so the outcome is the same.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields) + ", batch_id bigint"
-    target = read_or_empty(batch.sparkSession, path, schema).filter(F.col("batch_id") < batch_id).drop("batch_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields) + ", run string, batch_id bigint"
+    own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+    target = read_or_empty(batch.sparkSession, path, schema).filter(~own).drop("run", "batch_id")
     (
         absent_rows(batch, target, key, order)
-        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        .withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch_id").parquet(path)
     )
 
 
-def upsert_into(batch: DataFrame, path: str, key: str, order: list[Column], part: str = "day") -> None:
-    """Insert-or-replace into a Parquet table partitioned by ``part``; only touched partitions are rewritten.
+def upsert_into(batch: DataFrame, path: str, key: str, order: list[Column], part: str = "day",
+                group: str | None = None) -> None:
+    """Insert-or-replace into a Parquet table partitioned by ``part``.
 
-    A key stays in the partition where it was first stored. New keys thus go to the newest partitions, old ones are
-    rewritten only where a stored key is replaced, and no partition is left with an outdated copy. Finding the
-    stored keys reads the key column alone. Replaying a batch replaces the same rows by themselves.
+    A key stays in the partition where it was first stored, so no partition is left with an outdated copy. Partitions
+    in which a stored row is replaced are rewritten; new keys of other partitions are appended, and files there stay as
+    they are. With ``group`` the batch's rows of a group replace all stored rows of it, also those whose key does not
+    come again. Finding the stored rows reads the key columns alone. Replaying a batch replaces its rows by themselves.
     """
     spark = batch.sparkSession
     fresh = cut(first_per_key(batch, [key], order))
     table = read_or_empty(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields))
-    keys = small_side(fresh.select(key))
-    stored = table.select(key, F.col(part).alias("_part")).join(keys, key, "left_semi")
+    by = group or key
+    named = cut(fresh.select(by).distinct())
+    stored = cut(table.select(*dict.fromkeys([key, by]), F.col(part).alias("_part")).join(small_side(named), by, "left_semi"))
     placed = cut(
-        fresh.join(stored, key, "left").withColumn(part, F.coalesce("_part", part)).drop("_part").select(*fresh.columns)
+        fresh.join(stored.select(key, "_part"), key, "left").withColumn(part, F.coalesce("_part", part))
+        .drop("_part").select(*fresh.columns)
     )
     # One value per touched partition, which prunes the read as literals.
-    touched = [row[0] for row in placed.select(part).distinct().collect()]
-    kept = table.filter(F.col(part).isin(touched)).join(small_side(placed.select(key)), key, "left_anti")
-    merged = kept.unionByName(placed)
-    # Rebalancing splits large and merges small output partitions by size.
-    (
-        merged.hint("rebalance", part)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
-    )
+    touched = [row[0] for row in stored.select("_part").distinct().collect()]
+    new = placed.filter(~F.col(part).isin(touched)) if touched else placed
+    if touched:
+        kept = table.filter(F.col(part).isin(touched)).join(small_side(named), by, "left_anti")
+        # Rebalancing splits large and merges small output partitions by size.
+        (
+            kept.unionByName(placed.filter(F.col(part).isin(touched))).hint("rebalance", part)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+        )
+    new.hint("rebalance", part).write.mode("append").partitionBy(part).parquet(path)
 
 
 def recent_articles(articles: DataFrame, limit: int = 20) -> DataFrame:

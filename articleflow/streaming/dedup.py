@@ -11,7 +11,7 @@ from articleflow.operators.joins import salted_join, small_side
 from articleflow.operators.tables import read_or_empty
 from articleflow.session import cut
 
-_STORE = "bucket string, expires_at timestamp, expires_day date, batch_id bigint"
+_STORE = "bucket string, expires_at timestamp, expires_day date, run string, batch_id bigint"
 
 
 def stream_url_dedup(articles: DataFrame, event_time: str = "scraped_at", horizon: str = "7 days") -> DataFrame:
@@ -20,17 +20,18 @@ def stream_url_dedup(articles: DataFrame, event_time: str = "scraped_at", horizo
 
 
 def near_dup_batch(batch: DataFrame, store: str, batch_id: int, order: list[str], as_of: Column,
-                   ttl_seconds: int = C.FINGERPRINT_TTL_SECONDS) -> DataFrame:
+                   ttl_seconds: int = C.FINGERPRINT_TTL_SECONDS, run: str = "run") -> DataFrame:
     """Survivors of one micro-batch against the remembered fingerprints and each other; remembers them.
 
-    The store holds the buckets of kept articles, partitioned by expiry day (old days are never read) and batch.
-    A replayed batch ignores its own earlier fingerprints and overwrites them.
+    The store holds the buckets of kept articles, partitioned by expiry day (old days are never read), run and batch.
+    A replayed batch ignores its own earlier fingerprints and overwrites them; another run's batches are others.
     """
     spark = batch.sparkSession
     batch = batch.dropDuplicates(order)  # at-least-once delivery may repeat a message within the batch
     today = F.to_date(as_of)
     store_rows = read_or_empty(spark, store, _STORE).filter(
-        (F.col("expires_day") >= today) & (F.col("expires_at") > as_of) & (F.col("batch_id") < batch_id)
+        (F.col("expires_day") >= today) & (F.col("expires_at") > as_of)
+        & ~((F.col("run") == run) & (F.col("batch_id") == batch_id))
     )
     items = cut(banded(batch, [arrival_order(order).alias("_order")]))
     slots = items.select("_order", F.explode("buckets").alias("bucket"))
@@ -43,9 +44,9 @@ def near_dup_batch(batch: DataFrame, store: str, batch_id: int, order: list[str]
     (
         slots.join(kept, "_order", "left_semi")
         .select("bucket", expires.alias("expires_at"), F.to_date(expires).alias("expires_day"),
-                F.lit(batch_id).cast("bigint").alias("batch_id"))
+                F.lit(run).alias("run"), F.lit(batch_id).cast("bigint").alias("batch_id"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("expires_day", "batch_id").parquet(store)
+        .partitionBy("expires_day", "run", "batch_id").parquet(store)
     )
     dropped = cut(items.select("_order").join(kept, "_order", "left_anti"))
     ordered = batch.withColumn("_order", arrival_order(order))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from articleflow.functions import text as X
 from articleflow.operators.chunking import chunk_recursive
 from articleflow.operators.embedding import Embedder, embed_chunks
+from articleflow.operators.joins import first_per_key, small_side
 from articleflow.operators.normalize import article_rows
 from articleflow.operators.tables import append_absent, upsert_into
 from articleflow.session import cut, scratch_space
@@ -43,21 +44,35 @@ def chunk_rows(articles: DataFrame, load: Callable[[], Embedder] | None = None)
     return embed_chunks(keyed, load).select("chunk_key", "chunk_id", "text", "embedding", "article_id", "title", "url")
 
 
-def dual_index(articles: DataFrame, chunks: DataFrame, stores: Stores, batch_id: int, as_of: Column) -> None:
-    """One batch into both tables: articles if absent by url, chunks by key. Replays change nothing.
+def newest_versions(articles: DataFrame) -> DataFrame:
+    """One article per url: the one scraped last, then by article id and content. Only repeated urls are sorted."""
+    repeated = cut(articles.groupBy("url").count().filter("count > 1").select("url"))
+    if repeated.isEmpty():
+        return articles
+    asked = small_side(repeated)
+    several = articles.join(asked, "url", "left_semi")
+    newest = first_per_key(several, ["url"], [
+        F.col("scraped_at").desc_nulls_last(), F.col("article_id").asc(), F.xxhash64("content").asc()])
+    return articles.join(asked, "url", "left_anti").unionByName(newest)
 
-    Chunks lie in the partition of the day they were first indexed.
+
+def dual_index(articles: DataFrame, chunks: DataFrame, stores: Stores, batch_id: int, as_of: Column,
+               run: str = "run") -> None:
+    """One batch into both tables: articles if absent by url, chunks of an article in place of its earlier ones.
+
+    ``articles`` and ``chunks`` hold one version per url. Replays change nothing. Chunks lie in the partition of the
+    day they were first indexed.
     """
-    append_absent(article_rows(articles, as_of), stores.articles, "url", ["created_at", "id"], batch_id)
+    append_absent(article_rows(articles, as_of), stores.articles, "url", ["created_at", "id"], batch_id, run)
     dated = chunks.withColumn("day", F.to_date(as_of))
-    upsert_into(dated, stores.chunks, "chunk_key", [F.col("text").asc()])
+    upsert_into(dated, stores.chunks, "chunk_key", [F.col("text").asc()], group="url")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, stores: Stores, order: list[str], as_of: Column,
-                 load: Callable[[], Embedder] | None = None) -> None:
+                 load: Callable[[], Embedder] | None = None, run: str = "run") -> None:
     """De-duplicate, chunk, embed and index one micro-batch."""
-    unique = cut(near_dup_batch(batch, stores.fingerprints, batch_id, order, as_of))
-    dual_index(unique, chunk_rows(unique, load), stores, batch_id, as_of)
+    unique = cut(near_dup_batch(newest_versions(batch), stores.fingerprints, batch_id, order, as_of, run=run))
+    dual_index(unique, chunk_rows(unique, load), stores, batch_id, as_of, run)
 
 
 def start_ingest(messages: DataFrame, stores: Stores, order: list[str] | None = None, once: bool = False,
@@ -68,7 +83,11 @@ def start_ingest(messages: DataFrame, stores: Stores, order: list[str] | None =
 
     def step(batch: DataFrame, batch_id: int) -> None:
         with scratch_space(batch.sparkSession):
-            ingest_batch(cut(batch), batch_id, stores, sequence, now, load)
+            spark = batch.sparkSession
+            # One time for all of the batch's jobs; the query's id lasts as long as its checkpoint.
+            fixed = F.lit(spark.range(1).select(now.alias("now")).first()["now"])
+            run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "run"
+            ingest_batch(cut(batch), batch_id, stores, sequence, fixed, load, run)
 
     writer = messages.writeStream.foreachBatch(step).option("checkpointLocation", stores.checkpoints)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INGEST_PERIOD)).start()

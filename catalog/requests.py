@@ -57,8 +57,9 @@ def fuzzy_terms(spark, sf_dir):
 
 
 @query("fuzzy_prefix_fallback", f"""WITH RECURSIVE {S.LOG_QUERIES},{S.PREFIX}
-SELECT query_id, term, round(hits / len(b.q), 6) AS score, hits / len(b.q) >= {C.FUZZY_THRESHOLD} AS match
-FROM log JOIN bare b USING (query) JOIN prefix USING (q)""")
+SELECT query_id, term, round(share, 6) AS score, share >= {C.FUZZY_THRESHOLD} AS match FROM (
+  SELECT query_id, term, CASE WHEN contains(term, q) OR contains(q, term) THEN 1.0::DOUBLE ELSE hits / len(q) END AS share
+  FROM log JOIN bare b USING (query) JOIN prefix USING (q))""")
 def fuzzy_prefix_fallback(spark, sf_dir):
     return routing.fuzzy_prefix_fallback(all_queries(spark, sf_dir))
 

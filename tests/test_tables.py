@@ -45,6 +45,43 @@ def test_upsert_keeps_the_first_partition(spark, root):
     assert put(("a", "3", "d9"), ("a", "2", "d9")) == [("a", "2", "d1"), ("b", "1", "d2"), ("c", "1", "d3")]
 
 
+def test_another_run_never_overwrites(spark, root):
+    path = os.path.join(root, "t")
+    schema = "url string, title string"
+    tables.append_absent(spark.createDataFrame([("u1", "first"), ("u2", "first")], schema), path, "url", ["title"], 0, "a")
+    tables.append_absent(spark.createDataFrame([("u1", "second"), ("u3", "second")], schema), path, "url", ["title"], 0, "b")
+    rows = sorted((r["url"], r["title"]) for r in spark.read.parquet(path).collect())
+    assert rows == [("u1", "first"), ("u2", "first"), ("u3", "second")]
+
+
+def test_upsert_appends_new_keys_and_replaces_groups(spark, root):
+    path = os.path.join(root, "t")
+    schema = "chunk_key string, url string, text string, day string"
+
+    def put(*rows):
+        tables.upsert_into(spark.createDataFrame(rows, schema), path, "chunk_key", [F.col("text").asc()], group="url")
+        return sorted((r["chunk_key"], r["text"], r["day"]) for r in spark.read.schema(schema).parquet(path).collect())
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+    put(("a0", "a", "old", "d1"), ("a1", "a", "old", "d1"), ("b0", "b", "old", "d2"))
+    before = files()
+    assert ("c0", "new", "d2") in put(("c0", "c", "new", "d2"))
+    assert before < files()
+    # A shorter new version leaves no chunk of the old one behind, and stays in its first partition.
+    assert put(("a0", "a", "new", "d3")) == [("a0", "new", "d1"), ("b0", "old", "d2"), ("c0", "new", "d2")]
+    assert put(("a0", "a", "new", "d3")) == [("a0", "new", "d1"), ("b0", "old", "d2"), ("c0", "new", "d2")]
+
+
+def test_newest_version_of_a_url(spark):
+    from articleflow.streaming.ingest import newest_versions
+
+    rows = [("u", "2024-01-01", "1", "old"), ("u", "2024-01-02", "1", "new"), ("v", None, "2", "only")]
+    frame = spark.createDataFrame(rows, "url string, scraped_at string, article_id string, content string")
+    assert sorted((r["url"], r["content"]) for r in newest_versions(frame).collect()) == [("u", "new"), ("v", "only")]
+
+
 def test_recent_and_date_filter(spark):
     frame = spark.sql("select timestampadd(DAY, cast(id as int), timestamp'2024-01-01') published_date, "
                       "cast(id as string) article_id from range(30)")
@@ -76,14 +113,15 @@ def test_feeds(spark, root):
 
 def test_envelopes_and_quarantine(spark):
     values = ['{"article": {"article_id": "1", "url": "u"}, "chunks": [{"chunk_id": 0, "text": "t"}]}',
-              '{"article_id": "2", "title": "x"}', "{}", '{"article": nul', "null", ""]
+              '{"article_id": "2", "title": "x", "url": "v"}', "{}", '{"article": nul', "null", ""]
     frame = spark.createDataFrame([(v,) for v in values], "value string")
     rows = sorted((r["article"]["article_id"], r["article"]["title"], len(r["chunks"]))
                   for r in normalize.unwrap_envelope(frame).collect())
     assert rows == [("1", "Unknown Title", 1), ("2", "x", 0)]
     good, bad = normalize.quarantine_bad_records(frame)
     assert '{"article": nul' in [r["value"] for r in bad.collect()]
-    assert sorted(r["article_id"] for r in good.collect() if r["article_id"]) == ["2"]
+    assert [r["article_id"] for r in good.collect()] == ["2"]
+    assert good.count() + bad.count() == len(values)
 
 
 def test_cache(spark):
