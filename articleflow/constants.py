@@ -1,5 +1,7 @@
 """Fixed values. They decide results, so they are stated once, here."""
 
+from html.entities import html5
+
 # Python's notion of white space (str.split / str.strip), as a Java regular-expression class.
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # Token boundary of the keyword index: anything that is neither letter nor number.
@@ -47,6 +49,7 @@ STREAM_CAPS = {"news": 2, "web": 2, "papers": 3}
 HIT_SOURCE_NAMES = {"news": "Google News", "web": "DuckDuckGo", "papers": "arXiv Research"}
 PAPER_CARD_SOURCE = "arXiv"
 MERGED_HITS = 5
+# Common values of the optional text limits of enrich_hits and web_context.
 PAGE_BODY_CHARS = 2000
 CONTEXT_BODY_CHARS = 1000
 BLOCK_SEPARATOR = "\n---\n"
@@ -78,12 +81,5 @@ NO_CONTEXT_ANSWER = (
     "You might want to try rephrasing your question or asking about a different aspect of the topic."
 )
 
-# Named character references decoded in article text; "amp" last, so that nothing is decoded twice.
-NAMED_ENTITIES = (
-    ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
-    ("copy", "©"), ("reg", "®"), ("trade", "™"), ("middot", "·"), ("bull", "•"),
-    ("ndash", "–"), ("mdash", "—"), ("hellip", "…"),
-    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"),
-    ("laquo", "«"), ("raquo", "»"), ("euro", "€"), ("pound", "£"), ("deg", "°"),
-    ("amp", "&"),
-)
+# Named character references of HTML 5 that end with a semicolon, from the standard library's table.
+NAMED_REFERENCES = {f"&{name}": chars for name, chars in html5.items() if name.endswith(";")}

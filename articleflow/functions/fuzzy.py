@@ -46,22 +46,23 @@ def bare(query: Column) -> Column:
     return F.lower(F.replace(F.nullif(query, F.lit("")), F.lit(" "), F.lit("")))
 
 
-def fuzzy_score(q: Column, term: str, threshold: float = C.FUZZY_THRESHOLD) -> Column:
-    """1.0 on containment either way, the indel ratio where it can reach the threshold, else 0. ``q`` is bare."""
-    n, m = F.length(q), F.lit(len(term))
-    # No common subsequence is longer than the number of the query's characters that occur in the term at all.
-    usable = n - F.length(F.translate(q, term, ""))
-    best_possible = 2.0 * F.least(usable, m) / (n + m)
+def fuzzy_score(q: Column, term: str) -> Column:
+    """1.0 on containment either way, else the indel ratio; 0 for a missing query. ``q`` is bare."""
     return (
         F.when(q.isNull(), 0.0)
         .when(F.contains(F.lit(term), q) | F.contains(q, F.lit(term)), 1.0)
-        .when(best_possible < threshold, 0.0)
         .otherwise(indel_ratio(q, term))
     )
 
 
 def fuzzy_match(q: Column, term: str, threshold: float = C.FUZZY_THRESHOLD) -> Column:
-    return fuzzy_score(q, term, threshold) >= threshold
+    """Whether the score reaches the threshold; texts that cannot reach it are not compared in full."""
+    n, m = F.length(q), F.lit(len(term))
+    # No common subsequence is longer than the number of the query's characters that occur in the term at all.
+    usable = n - F.length(F.translate(q, term, ""))
+    best_possible = 2.0 * F.least(usable, m) / (n + m)
+    contained = F.contains(F.lit(term), q) | F.contains(q, F.lit(term))
+    return F.when(contained | (best_possible >= threshold), fuzzy_score(q, term) >= threshold).otherwise(False)
 
 
 def prefix_score(q: Column, term: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,19 +75,33 @@ _TAG = r"""(?s)<[/!?]?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _NODE_BREAK = "\u0001"
 
 
+# A text in parts: character references, runs without "&", and each remaining "&".
+_PARTS = r"(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"
+
+
 def _decode_entities(text: Column) -> Column:
-    def decode_number(acc: Column, ref: Column) -> Column:
-        code = F.when(
-            F.lower(ref).startswith("&#x"), F.conv(F.regexp_extract(ref, r"(?i)&#x([0-9a-f]+);", 1), 16, 10)
-        ).otherwise(F.regexp_extract(ref, r"&#([0-9]+);", 1))
-        hex8 = F.lpad(F.hex(code.try_cast("bigint")), 8, "0")
-        return F.replace(acc, ref, F.coalesce(F.decode(F.unhex(hex8), "UTF-32"), ref))
-
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});)"), 1))
-    text = F.when(F.contains(text, F.lit("&#")), F.aggregate(numbers, text, decode_number)).otherwise(text)
-    for name, char in C.NAMED_ENTITIES:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    """Character references decoded once, from left to right.
+
+    Unknown names stay as they are; numbers that are no character (or the node mark) become U+FFFD.
+    """
+    names = F.from_json(F.lit(json.dumps(C.NAMED_REFERENCES)), "map<string,string>")
+
+    def decode(part: Column) -> Column:
+        hexed = F.conv(F.regexp_extract(part, r"^&#[xX]0*([0-9a-fA-F]+);$", 1), 16, 10)
+        digits = F.when(F.substring(part, 3, 1).isin("x", "X"), hexed).otherwise(F.regexp_extract(part, "([0-9]+)", 1))
+        code = digits.try_cast("bigint")
+        valid = code.between(2, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # The number 65 stands where the branch is not taken: decoding refuses impossible code points.
+        safe = F.lpad(F.hex(F.when(valid, code).otherwise(65)), 8, "0")
+        char = F.when(valid, F.decode(F.unhex(safe), "UTF-32")).otherwise("\ufffd")
+        return (
+            F.when(~F.startswith(part, F.lit("&")), part)
+            .when(F.startswith(part, F.lit("&#")) & (F.length(part) > 2), char)
+            .otherwise(F.coalesce(F.try_element_at(names, part), part))
+        )
+
+    parts = F.transform(F.regexp_extract_all(text, F.lit(_PARTS), 1), decode)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:

@@ -31,15 +31,19 @@ def build_context(hits: DataFrame) -> DataFrame:
     )
 
 
-def web_context(hits: DataFrame) -> DataFrame:
-    """(query_id, context, sources) of enriched external hits: numbered blocks and ``source - link`` labels."""
+def web_context(hits: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(query_id, context, sources) of enriched external hits: numbered blocks and ``source - link`` labels.
+
+    ``max_chars`` keeps only the head of each content; without it blocks hold whole contents.
+    """
     def text(name: str) -> Column:
         return F.coalesce(name, F.lit(""))
 
+    content = text("content") if max_chars is None else F.substring(text("content"), 1, max_chars)
     block = F.concat(
         F.lit("[Article "), F.col("ordinal").cast("string"), F.lit("]\nTitle: "), text("title"),
         F.lit("\nSource: "), text("source"), F.lit("\nLink: "), text("link"),
-        F.lit("\nContent: "), F.substring(text("content"), 1, C.CONTEXT_BODY_CHARS), F.lit("...\n"),
+        F.lit("\nContent: "), content, F.lit("...\n"),
     )
     label = F.concat_ws(" - ", "source", "link")
     listed = hits.withColumn("_block", block).withColumn("_label", label).groupBy("query_id").agg(

@@ -45,10 +45,14 @@ def merged_top_n(hits: DataFrame, n: int = C.MERGED_HITS) -> DataFrame:
     return first_per_key(hits, ["query_id"], [F.col("source_no").asc(), F.col("rank").asc()], n, "ordinal")
 
 
-def enrich_hits(hits: DataFrame, pages: DataFrame) -> DataFrame:
-    """Hits with ``content``: the head of the page body (link, body), the summary where there is none."""
+def enrich_hits(hits: DataFrame, pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Hits with ``content``: the page body (link, body), the summary where there is none.
+
+    ``max_chars`` keeps only the head of each body; without it the whole body is content.
+    """
     hits = cut(hits)
-    heads = pages.select("link", F.substring("body", 1, C.PAGE_BODY_CHARS).alias("_head"))
+    body = F.col("body") if max_chars is None else F.substring("body", 1, max_chars)
+    heads = pages.select("link", body.alias("_head"))
     wanted = heads.join(small_side(hits.select("link").distinct()), "link", "left_semi")
     bodies = first_per_key(wanted, ["link"], [F.col("_head").asc_nulls_last()])
     joined = salted_join(hits, bodies, ["link"], ["query_id", "ordinal"], "left")

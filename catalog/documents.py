@@ -92,12 +92,15 @@ def explode_chunks(spark, sf_dir):
 
 
 @query("drop_unchunkable", f"""WITH {S.DOCS},
-parts AS (SELECT doc_id, len(list_filter({S.words('content')}, lambda w: len(w) >= 12)) AS n FROM docs)
+parts AS (SELECT doc_id, len({S.words('content')}) AS n FROM docs UNION ALL SELECT -1 - doc_id, 0 FROM labels)
 SELECT doc_id, CAST(n AS INT) AS n_parts FROM parts WHERE n > 0""")
 def drop_unchunkable(spark, sf_dir):
-    # Split into long words only, so that some articles yield nothing.
-    parts = F.filter(X.words(F.col("content")), lambda w: F.length(w) >= 12)
-    listed = doc_articles(spark, sf_dir).select("doc_id", parts.alias("chunks"))
+    # Split into words; further articles, one per label, yield nothing.
+    listed = doc_articles(spark, sf_dir).select("doc_id", X.words(F.col("content")).alias("chunks"))
+    barren = table(spark, sf_dir, "labels").select(
+        (-1 - F.col("doc_id")).alias("doc_id"), F.array().cast("array<string>").alias("chunks")
+    )
+    listed = listed.unionByName(barren)
     return chunking.drop_unchunkable(listed).select("doc_id", F.size("chunks").alias("n_parts"))
 
 

@@ -43,9 +43,9 @@ def ingest_entries(spark, sf_dir):
 @query("unwrap_envelope", f"""WITH {S.DOCS}
 SELECT article_id, CASE WHEN title = 'es' THEN '{C.DEFAULT_TITLE}' ELSE title END AS title, source,
   md5(content) AS content_md5, CASE WHEN title = 'en' THEN 1 ELSE 0 END AS n_chunks
-FROM docs WHERE title <> 'de'""")
+FROM docs""")
 def unwrap_envelope(spark, sf_dir):
-    # English articles come with chunks, French ones bare, Spanish ones bare without a title, German messages are empty.
+    # English articles come with chunks, Spanish ones bare without a title, others bare; each also sends an empty message.
     docs = doc_articles(spark, sf_dir).drop("doc_id")
     chunk = F.array(F.struct(F.lit(0).alias("chunk_id"), F.col("content").alias("text")))
     lang = F.col("title")
@@ -53,10 +53,10 @@ def unwrap_envelope(spark, sf_dir):
     value = (
         F.when(lang == "en", F.to_json(F.struct(F.struct(*docs.columns).alias("article"), chunk.alias("chunks"))))
         .when(lang == "es", F.to_json(F.struct(*fields)))
-        .when(lang == "de", F.lit("{}"))
         .otherwise(F.to_json(F.struct(*docs.columns)))
     )
-    return normalize.unwrap_envelope(docs.select(value.alias("value"))).select(
+    messages = docs.select(F.explode(F.array(value, F.lit("{}"))).alias("value"))
+    return normalize.unwrap_envelope(messages).select(
         "article.article_id", "article.title", "article.source", F.md5("article.content").alias("content_md5"),
         F.size("chunks").alias("n_chunks"),
     )

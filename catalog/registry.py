@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 AS_OF = "2024-02-01 00:00:00"
 DOC_URL = "https://example.org/d/"
+ITEM_URL = "https://example.org/b/"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:

@@ -8,30 +8,42 @@ from articleflow import constants as C
 from articleflow.operators import answers, contexts, hits, retrieval, routing
 from articleflow.plans import answer
 from catalog import sql as S
-from catalog.registry import DOC_URL, all_queries, as_of, query, requests, table
+from catalog.registry import DOC_URL, ITEM_URL, all_queries, as_of, query, requests, table
 from catalog.retrieval import corpus, hybrid_hits
 
 
+def item_link():
+    return F.concat(F.lit(ITEM_URL), F.col("item_id").cast("string")).alias("link")
+
+
 def landed_hits(spark, sf_dir):
-    """Documents as hits of the outside source given by the number in their source name, spread over the requests."""
-    docs = table(spark, sf_dir, "documents")
-    n_requests = table(spark, sf_dir, "benchmark").count()
+    """Documents as hits of the outside source given by the number in their source name, spread over the requests.
+
+    Benchmark items are hits too, whose links no document has.
+    """
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    n_requests = items.count()
     link = F.concat(F.lit(DOC_URL), F.col("doc_id").cast("string"))
     rows = docs.select(
         (F.col("doc_id") % n_requests).alias("query_id"), F.col("doc_id").alias("rank"),
         F.concat(F.lit("Hit "), F.col("doc_id").cast("string")).alias("title"), link.alias("link"),
         F.when(F.col("lang") != "en", F.col("source")).alias("source"), F.col("text").alias("summary"),
         (F.substring("source", 4, 10).cast("int") % 3).alias("kind"),
-    )
+    ).unionByName(items.select(
+        (F.col("item_id") % n_requests).alias("query_id"), (-1 - F.col("item_id")).alias("rank"),
+        F.concat(F.lit("Hit b"), F.col("item_id").cast("string")).alias("title"), item_link(),
+        F.lit(None).cast("string").alias("source"), F.col("text").alias("summary"), (F.col("item_id") % 3).alias("kind"),
+    ))
     return {name: rows.filter(F.col("kind") == i).drop("kind") for i, name in enumerate(C.EXTERNAL_SOURCES)}
 
 
 def landed_pages(spark, sf_dir):
-    """Page bodies of the non-German documents; Spanish ones were fetched empty."""
-    body = F.when(F.col("lang") == "es", "").otherwise(F.concat(F.lit("Body: "), "text"))
-    return table(spark, sf_dir, "documents").filter("lang <> 'de'").select(
-        F.concat(F.lit(DOC_URL), F.col("doc_id").cast("string")).alias("link"), body.alias("body")
-    )
+    """Page bodies of all documents; those of even benchmark items were fetched empty, odd ones have none."""
+    empty = table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").select(item_link(), F.lit("").alias("body"))
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit(DOC_URL), F.col("doc_id").cast("string")).alias("link"),
+        F.concat(F.lit("Body: "), "text").alias("body"),
+    ).unionByName(empty)
 
 
 def answer_corpus(spark, sf_dir):
@@ -51,7 +63,7 @@ def intent_classify(spark, sf_dir):
 
 
 @query("fuzzy_terms", f"""WITH RECURSIVE {S.LOG_QUERIES},{S.FUZZY}
-SELECT query_id, term, round(score, 6) AS score, score >= {C.FUZZY_THRESHOLD} AS match FROM log JOIN fuzzy USING (query)""")
+SELECT query_id, term, score >= {C.FUZZY_THRESHOLD} AS match FROM log JOIN fuzzy USING (query)""")
 def fuzzy_terms(spark, sf_dir):
     return routing.fuzzy_terms(all_queries(spark, sf_dir))
 

@@ -84,12 +84,14 @@ def hybrid_search(spark, sf_dir):
 
 
 @query("attach_source", """SELECT vec_id, coalesce(d.source, 'Unknown Source') AS source, label FROM embeddings
-LEFT JOIN documents d ON d.doc_id = vec_id AND d.lang <> 'de'""")
+LEFT JOIN documents d ON d.doc_id = vec_id
+UNION ALL SELECT -1 - vec_id, 'Unknown Source', label FROM embeddings""")
 def attach_source(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").alias("article_id"), "label")
-    articles = table(spark, sf_dir, "documents").filter("lang <> 'de'").select(
-        F.col("doc_id").alias("article_id"), "source"
-    )
+    # A second vector of each belongs to an article that no table has.
+    stored = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    vectors = stored.unionByName(stored.withColumn("vec_id", -1 - F.col("vec_id")))
+    vectors = vectors.withColumn("article_id", F.col("vec_id"))
+    articles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "source")
     return retrieval.attach_source(vectors, articles).select("vec_id", "source", "label")
 
 

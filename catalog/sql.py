@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from articleflow import constants as C
 from articleflow.operators.dedup import permutations
-from catalog.registry import DOC_URL, SHORT_QUERIES
+from catalog.registry import DOC_URL, ITEM_URL, SHORT_QUERIES
 
 # The same white-space class as articleflow.constants.WHITESPACE, in RE2 notation.
 WS = (r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
@@ -37,14 +37,21 @@ def source_name(url: str) -> str:
     return f"array_to_string(list_transform({runs}, lambda r: upper(r[1]) || lower(r[2:])), '')"
 
 
+_REFERENCES = "MAP {" + ", ".join(
+    f"'{name}': '" + chars.replace("'", "''") + "'" for name, chars in C.NAMED_REFERENCES.items()
+) + "}"
+
+
 def html_text(x: str) -> str:
     for tag in ("script", "style", "template"):
         x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', chr(1), 'g')"
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', chr(1), 'g')"
     x = f"""regexp_replace({x}, '(?s)<[/!?]?[A-Za-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>', chr(1), 'g')"""
-    for name, char in C.NAMED_ENTITIES:
-        quoted = char.replace("'", "''")
-        x = f"replace({x}, '&{name};', '{quoted}')"
+    parts = f"regexp_extract_all({x}, '(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)')"
+    x = f"""array_to_string(list_transform({parts}, lambda r: CASE WHEN r[1] <> '&' THEN r
+      WHEN lower(r[2:3]) = '#x' THEN coalesce(chr(TRY_CAST('0x' || r[4:-2] AS INT)), chr(65533))
+      WHEN r[2] = '#' THEN coalesce(chr(TRY_CAST(r[3:-2] AS INT)), chr(65533))
+      ELSE coalesce({_REFERENCES}[r], r) END), '')"""
     nodes = f"list_transform(string_split({x}, chr(1)), lambda t: {strip('t')})"
     return f"array_to_string(list_filter({nodes}, lambda t: t <> ''), ' ')"
 
@@ -215,13 +222,15 @@ def local_context(hits: str, name: str) -> str:
 
 
 # External hits: every document is a hit of the request numbered doc_id modulo the number of requests; the number in its
-# source name decides which outside source found it.
+# source name decides which outside source found it. Benchmark items are further hits: half have an empty page, half none.
 def outside(caps: dict[str, int]) -> str:
     news, web, papers = (caps[n] for n in C.EXTERNAL_SOURCES)
     return f"""
 landed AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS query_id, CAST(substr(source, 4) AS INT) % 3 AS source_no,
     doc_id AS rank, 'Hit ' || doc_id AS title, '{DOC_URL}' || doc_id AS link,
-    CASE WHEN lang = 'en' THEN NULL ELSE source END AS publisher, text AS summary FROM documents),
+    CASE WHEN lang = 'en' THEN NULL ELSE source END AS publisher, text AS summary FROM documents
+  UNION ALL SELECT item_id % (SELECT count(*) FROM benchmark), CAST(item_id % 3 AS INT), -1 - item_id, 'Hit b' || item_id,
+    '{ITEM_URL}' || item_id, NULL, text FROM benchmark),
 outside AS MATERIALIZED (SELECT query_id, source_no, rank, title, link, summary,
     CASE source_no WHEN 0 THEN coalesce(publisher, '{C.HIT_SOURCE_NAMES['news']}')
       WHEN 1 THEN '{C.HIT_SOURCE_NAMES['web']}' ELSE '{C.HIT_SOURCE_NAMES['papers']}' END AS source
@@ -232,15 +241,15 @@ outside AS MATERIALIZED (SELECT query_id, source_no, rank, title, link, summary,
 ENRICHED = f"""
 merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_no, rank) AS ordinal
   FROM outside) WHERE ordinal <= {C.MERGED_HITS}),
-bodies AS (SELECT '{DOC_URL}' || doc_id AS link, CASE WHEN lang = 'es' THEN '' ELSE 'Body: ' || text END AS body
-  FROM documents WHERE lang <> 'de'),
-enriched AS MATERIALIZED (SELECT m.*, coalesce(nullif(substr(body, 1, {C.PAGE_BODY_CHARS}), ''), summary) AS content
+bodies AS (SELECT '{DOC_URL}' || doc_id AS link, 'Body: ' || text AS body FROM documents
+  UNION ALL SELECT '{ITEM_URL}' || item_id, '' FROM benchmark WHERE item_id % 2 = 0),
+enriched AS MATERIALIZED (SELECT m.*, coalesce(nullif(body, ''), summary) AS content
   FROM merged m LEFT JOIN bodies USING (link))"""
 
 WEB = f"""
 web AS MATERIALIZED (SELECT query_id, string_agg('[Article ' || ordinal || ']' || chr(10) || 'Title: ' || title || chr(10) ||
     'Source: ' || source || chr(10) || 'Link: ' || link || chr(10) || 'Content: ' ||
-    substr(content, 1, {C.CONTEXT_BODY_CHARS}) || '...' || chr(10), chr(10) || '---' || chr(10) ORDER BY ordinal) AS context,
+    content || '...' || chr(10), chr(10) || '---' || chr(10) ORDER BY ordinal) AS context,
     list(source || ' - ' || link ORDER BY ordinal) AS sources
   FROM enriched GROUP BY 1)"""
 
@@ -257,7 +266,8 @@ quality AS MATERIALIZED (SELECT r.query_id, CAST(count(h.id) AS INT) AS n_hits,
 
 
 _TERMS = ", ".join(f"('{t}')" for t in C.COMPANY_TERMS)
-# Longest common subsequence by a recursive walk over the query's characters, one row of cell values per step.
+# Longest common subsequence by a recursive walk over the query's characters, one row of cell values per step. The score
+# is exact where the threshold can be reached, else 0: only its comparison with the threshold is reported.
 FUZZY = f"""
 terms(term) AS (VALUES {_TERMS}),
 bare AS (SELECT DISTINCT query, lower(replace(query, ' ', '')) AS q FROM log),

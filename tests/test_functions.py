@@ -37,7 +37,9 @@ def test_source_name(spark, url, name):
     ("<p>One <b>two</b>  three</p>", "One two three"),
     ("a<script>var x='<p>no</p>'</script>b<style>p{}</style>c<!-- <p>no</p> -->d", "a b c d"),
     ('<a title="x > y">link</a> 1 < 2', "link 1 < 2"),
-    ("&amp;lt; &#39;q&#39; &#x1F600; &eacute;&nbsp;", "&lt; 'q' \U0001F600 &eacute;"),
+    ("&amp;lt; &#39;q&#39; &#x1F600; &eacute;&nbsp;", "&lt; 'q' \U0001F600 é"),
+    ("&ouml;&ntilde; &#38;lt; &#x10FFFF; &#0000000065; &#x000000041; & &nope; &AMP;", "öñ &lt; \U0010FFFF A A & &nope; &"),
+    ("a&#xD800;b&#99999999999999999999;c&#x110000;d&#0;", "a\ufffdb\ufffdc\ufffdd\ufffd"),
     ("<p>  inner  space </p>", "inner  space"),
     ("", ""),
 ])

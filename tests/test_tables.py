@@ -4,7 +4,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from articleflow.operators import answers, hits, normalize, tables
+from articleflow import constants as C
+from articleflow.operators import answers, contexts, hits, normalize, tables
 from articleflow.session import shared_dir
 from articleflow.sources import feeds, topics
 from articleflow.streaming import dedup, ingest
@@ -162,8 +163,12 @@ def test_external_hits_are_capped_per_source(spark):
     assert [r["link"] for r in merged] == ["l0", "l1", "l2", "l0", "l1"]
     assert [r["source"] for r in merged] == ["Google News", "pub", "Google News", "DuckDuckGo", "DuckDuckGo"]
     pages = spark.createDataFrame([("l0", "b" * 3000), ("l1", "")], "link string, body string")
-    filled = {r["ordinal"]: r["content"] for r in hits.enrich_hits(hits.merged_top_n(all_hits), pages).collect()}
-    assert [len(filled[i]) for i in range(1, 6)] == [2000, 1, 1, 2000, 1]
+    for limit, length in ((None, 3000), (C.PAGE_BODY_CHARS, 2000)):
+        enriched = hits.enrich_hits(hits.merged_top_n(all_hits), pages, limit)
+        filled = {r["ordinal"]: r["content"] for r in enriched.collect()}
+        assert [len(filled[i]) for i in range(1, 6)] == [length, 1, 1, length, 1]
+    whole, cut = (contexts.web_context(enriched, n).collect()[0]["context"] for n in (None, C.CONTEXT_BODY_CHARS))
+    assert (whole.count("b"), cut.count("b")) == (4001, 2001)
 
 
 ARTICLES = "article_id string, url string, title string, content string, source string, author string, " \
