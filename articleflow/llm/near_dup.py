@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_in_rest(members: DataFrame, sketched: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
-    """Links between different components of one bucket, as many as join what can be joined.
+    """Links (a, b) between components that share a bucket, as many as join what can be joined.
 
     Members of a bucket are dealt to blocks, and every two blocks are compared in one task. A pair is looked at in the
     first band where it meets, and verified on full sets if its sketches agree in at least ``least`` coordinates.
@@ -195,7 +195,7 @@ def _links_in_rest(members: DataFrame, sketched: DataFrame, sets: DataFrame, lea
             shared = len(np.intersect1d(flat[ends[i]:ends[i + 1]], flat[ends[j]:ends[j + 1]], assume_unique=True))
             if 100 * shared >= percent * (int(n[i]) + int(n[j]) - shared):
                 above[max(a, b)] = min(a, b)
-                found.append((int(cls[i]), int(cls[j])))
+                found.append((int(comp[i]), int(comp[j])))
         left, right = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
@@ -252,8 +252,11 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = int(np.floor(SKETCH * share - SLACK * np.sqrt(SKETCH * share * (1 - share))))
     more = _links_in_rest(rest, sketched, sets, least, percent)
     if not more.isEmpty():
-        links = cut(links.unionByName(more))
-        found = components(links)
+        # A component is named after one of its classes, so that its links are links of classes too.
+        links = links.unionByName(more)
+        joined = components(more).select(F.col("node").alias("comp"), F.col("component").alias("joined"))
+        names = labelled.select("cls", "comp").distinct().join(joined, "comp", "left")
+        found = cut(names.select(F.col("cls").alias("node"), F.coalesce("joined", "comp").alias("component")))
 
     # Back to documents: the smallest id of all classes of a component. Rows with one id are one document.
     twins = signed.filter("set_key is not null and doc_id is not null").join(classes.select("set_key", "cls"), "set_key")
