@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow import constants as C
-from articleflow.operators import answers, contexts, hits, retrieval, routing
+from articleflow.operators import answers, contexts, hits, retrieval, routing, stats
 from articleflow.operators.embedding import Embedder, embed_chunks
+from articleflow.operators.joins import small_side
+from articleflow.operators.tables import within_date_filter
 from articleflow.session import cut
 
+CACHE = "cache_key string, response string, expires_at timestamp"
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -24,6 +30,25 @@ class Corpus:
     pages: DataFrame
 
 
+def recent_corpus(corpus: Corpus, date_filter: str | None, as_of: Column) -> Corpus:
+    """``corpus`` with the chunks published in the last ``7d``-style period only; without a filter, as it is.
+
+    Chunks that carry ``published_date`` are filtered where they are scanned, others by their articles.
+    """
+    if date_filter is None:
+        return corpus
+    if "published_date" in corpus.chunks.columns:
+        return replace(corpus, chunks=within_date_filter(corpus.chunks, date_filter, as_of))
+    recent = within_date_filter(corpus.articles, date_filter, as_of).select("article_id").distinct()
+    return replace(corpus, chunks=cut(corpus.chunks.join(recent, "article_id", "left_semi")))
+
+
+def asked_for(external: dict[str, DataFrame], queries: DataFrame) -> dict[str, DataFrame]:
+    """Landed hits of the given queries: others are dropped before hits are ranked."""
+    wanted = small_side(queries.select("query_id").distinct())
+    return {name: landed.join(wanted, "query_id", "left_semi") for name, landed in external.items()}
+
+
 def local_hits(queries: DataFrame, corpus: Corpus, limit: int, load: Callable[[], Embedder] | None = None) -> DataFrame:
     """Hybrid hits with query, text and source; a bounded table (limit rows per query), computed once."""
     embedded = embed_chunks(queries.select("query_id", "query"), load, "query")
@@ -35,15 +60,20 @@ def local_hits(queries: DataFrame, corpus: Corpus, limit: int, load: Callable[[]
 
 def external_contexts(routed: DataFrame, corpus: Corpus, as_of: Column) -> DataFrame:
     """Numbered contexts of the routed requests' external hits."""
-    wanted = routed.filter("use_external").select("query_id")
-    merged = hits.merged_top_n(hits.external_hits(corpus.external, C.ANSWER_CAPS, as_of))
-    return contexts.web_context(hits.enrich_hits(merged.join(wanted, "query_id", "left_semi"), corpus.pages))
+    landed = asked_for(corpus.external, routed.filter("use_external"))
+    merged = hits.merged_top_n(hits.external_hits(landed, C.ANSWER_CAPS, as_of))
+    return contexts.web_context(hits.enrich_hits(merged, corpus.pages))
 
 
 def answer_queries(queries: DataFrame, corpus: Corpus, cache: DataFrame, as_of: Column,
                    load: Callable[[], Embedder] | None = None, ranker: Callable | None = None,
-                   generator: Callable | None = None) -> DataFrame:
-    """Requests (query_id, query) to response rows: greeting, cached, or retrieved, routed and generated."""
+                   generator: Callable | None = None, date_filter: str | None = None) -> DataFrame:
+    """Requests (query_id, query) to response rows: greeting, cached, or retrieved, routed and generated.
+
+    ``date_filter`` (``7d``, ``12h``, ``30m``) searches only chunks of that period. The cache knows no periods: use one
+    cache per filter.
+    """
+    corpus = recent_corpus(corpus, date_filter, as_of)
     asked = routing.intent_classify(queries)
     small = answers.smalltalk_rows(queries)
     looked_up = cut(answers.cache_lookup(asked.filter("intent = 'factual'"), cache, as_of))
@@ -70,10 +100,40 @@ def answer_queries(queries: DataFrame, corpus: Corpus, cache: DataFrame, as_of:
 
 
 def stream_contexts(queries: DataFrame, corpus: Corpus, as_of: Column,
-                    load: Callable[[], Embedder] | None = None) -> DataFrame:
+                    load: Callable[[], Embedder] | None = None, date_filter: str | None = None) -> DataFrame:
     """Context, source cards and prompt of the streaming route; no cache, no routing, no reranking."""
+    corpus = recent_corpus(corpus, date_filter, as_of)
     factual = queries.filter(routing.intent(F.col("query")) == "factual")
     found = local_hits(factual, corpus, C.STREAM_CANDIDATES, load)
-    outside = hits.external_hits(corpus.external, C.STREAM_CAPS, as_of)
+    outside = hits.external_hits(asked_for(corpus.external, factual), C.STREAM_CAPS, as_of)
     joined = contexts.parallel_context(factual, found, outside).join(factual, "query_id")
     return joined.withColumn("prompt", answers.stream_prompt(F.col("context"), F.col("query")))
+
+
+def cache_path(root: str, date_filter: str | None) -> str:
+    return os.path.join(root, "answer_cache", f"period={date_filter or 'all'}")
+
+
+def stored_cache(spark: SparkSession, root: str, date_filter: str | None = None) -> DataFrame:
+    """The answer cache below ``root``, one per date filter; empty before the first answer."""
+    path = cache_path(root, date_filter)
+    # An append of no rows creates the table, and changes nothing later.
+    spark.createDataFrame([], CACHE).write.mode("append").parquet(path)
+    return spark.read.schema(CACHE).parquet(path)
+
+
+def serve(queries: DataFrame, corpus: Corpus, root: str, as_of: Column, date_filter: str | None = None,
+          **models: Callable) -> DataFrame:
+    """Answer a batch from and into the stored cache, and log it; the responses as a written table.
+
+    Fresh answers are appended to the cache below ``root``; expired rows stay there and never count. Every request is
+    appended to the query log with the duration of its batch. ``as_of`` should be a fixed time.
+    """
+    spark, start = queries.sparkSession, time.monotonic()
+    cache = stored_cache(spark, root, date_filter)
+    responses = cut(answer_queries(queries, corpus, cache, as_of, date_filter=date_filter, **models))
+    elapsed = F.lit(round(1000 * (time.monotonic() - start)))
+    # Cached answers and greetings have no context, hence only fresh answers are stored.
+    answers.cache_put(responses, as_of).write.mode("append").parquet(cache_path(root, date_filter))
+    stats.query_log(responses, elapsed, as_of).write.mode("append").parquet(os.path.join(root, "query_log"))
+    return responses

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from articleflow.operators import answers, embedding
-from articleflow.plans.answer import Corpus, answer_queries, stream_contexts
+from articleflow.plans.answer import Corpus, answer_queries, recent_corpus, serve, stream_contexts
+
 
 @pytest.fixture(scope="module")
 def now(spark):
@@ -74,3 +75,28 @@ def test_streaming_route(spark, corpus, now):
     assert [(c["title"], c["source"]) for c in rows["out"]["cards"]] == [
         ("T", "Pub"), ("U", "Google News"), ("T", "arXiv"), ("U", "arXiv")]
     assert rows["in"]["cards"] == [] and rows["in"]["context"].endswith("\n\n\n\n")
+
+
+def test_serving_stores_answers_and_logs(spark, corpus, now, tmp_path):
+    asked = spark.createDataFrame(QUERIES[:2], "query_id string, query string")
+    first = {r["query_id"]: r for r in serve(asked, corpus, str(tmp_path), now).collect()}
+    again = {r["query_id"]: r for r in serve(asked, corpus, str(tmp_path), now).collect()}
+    assert first["in"]["context"] and not again["in"]["context"]
+    assert first["in"]["answer"] == again["in"]["answer"] and first["small"]["answer"] == again["small"]["answer"]
+    log = spark.read.parquet(str(tmp_path / "query_log")).collect()
+    assert sorted(r["query_text"] for r in log) == sorted(2 * [q for _, q in QUERIES[:2]])
+    assert all(r["response_time_ms"] > 0 for r in log)
+    cached = spark.read.parquet(str(tmp_path / "answer_cache")).collect()
+    assert [str(r["expires_at"]) for r in cached] == ["2024-01-01 01:00:00"]
+
+
+def test_date_filter(spark, corpus, now):
+    dates = F.when(F.col("article_id") < "a3", F.to_timestamp(F.lit("2023-12-31 00:00:00"))).otherwise(
+        F.to_timestamp(F.lit("2023-01-01 00:00:00")))
+    dated = Corpus(corpus.chunks, corpus.articles.withColumn("published_date", dates), corpus.external, corpus.pages)
+    ids = lambda found: sorted(r["article_id"] for r in found.chunks.collect())
+    assert ids(recent_corpus(dated, "7d", now)) == ["a0", "a1", "a2"]
+    assert ids(recent_corpus(dated, "12h", now)) == []
+    assert len(ids(recent_corpus(dated, None, now))) == 8
+    carried = Corpus(corpus.chunks.withColumn("published_date", dates), corpus.articles, corpus.external, corpus.pages)
+    assert ids(recent_corpus(carried, "7d", now)) == ["a0", "a1", "a2"]
