@@ -1,9 +1,10 @@
 """Licence recognition by sentences and rules.
 
 A text is cut into sentences, and a sentence is normalised to lower-case letters and digits with single spaces. Known
-licence sentences have identifiers. A licence is an ordered list of identifiers, and it is recognised where these
-stand one after the other; sentences that are not known break a sequence, copyright notices do not. Rules are tried in
-their order, longer ones first, and each takes the sentences it has matched out of the sequence.
+licence sentences have identifiers; one that is wrapped over lines, or has punctuation inside, is put together again
+from the pieces it was cut into. A licence is an ordered list of identifiers, and it is recognised where these stand one
+after the other; sentences that are not known break a sequence, copyright notices and the numbers of known clauses do
+not. Rules are tried in their order, longer ones first, and each takes the sentences it has matched out of the sequence.
 """
 
 from __future__ import annotations
@@ -84,6 +85,8 @@ RULES = (
 )
 SENTENCE_END = r"([.!?:;])[ \t\r\n\f]+"
 COPYRIGHT = r"^copyright (c )?[0-9]{4}.*$"
+# The number or letter of a clause.
+CLAUSE = r"(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})[ |]"
 
 
 def sentences(text: Column) -> Column:
@@ -97,6 +100,19 @@ def sentences(text: Column) -> Column:
     return F.array_remove(plain, "")
 
 
+def joined(normal: Column) -> Column:
+    """``normal`` with the pieces of a known sentence put together; its clause number, if it has one, goes.
+
+    A known sentence begins and ends where pieces do. The longest known one wins; other pieces stay as they are.
+    """
+    wordings = sorted({wording for _, wording in SENTENCES}, key=lambda w: (-len(w), w))
+    known = "|".join(wording.replace(" ", "[ |]") for wording in wordings)
+    # One of the groups is empty: 1 is a known sentence behind its number, 2 one piece.
+    pieces = F.concat(F.lit("|"), F.array_join(normal, "|"), F.lit("|"))
+    found = F.regexp_extract_all(pieces, F.lit(rf"\|(?:(?:{CLAUSE})?(?={known})|)((?:{known})|[^|]+)(?=\|)"), 1)
+    return F.transform(found, lambda s: F.translate(s, "|", " "))
+
+
 def identifiers(normal: Column) -> Column:
     """The identifier of each sentence: ``copyright`` for a notice, ``?`` if it is not known."""
     known = F.create_map(*[F.lit(v) for sid, wording in dict((w, s) for s, w in SENTENCES).items() for v in (sid, wording)])
@@ -104,7 +120,7 @@ def identifiers(normal: Column) -> Column:
     def name(sentence: Column) -> Column:
         return F.coalesce(F.try_element_at(known, sentence), F.when(sentence.rlike(COPYRIGHT), "copyright"), F.lit("?"))
 
-    return F.transform(normal, name)
+    return F.transform(joined(normal), name)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
