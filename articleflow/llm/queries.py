@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from articleflow.llm import (
-    ann, chat, decontam, licenses, line_dedup, lm, near_dup, packing, sql, token_index, toxicity,
+    ann, bag_search, chat, decontam, licenses, line_dedup, lm, near_dup, packing, sql, token_index, toxicity, warc,
 )
 from articleflow.session import scratch
 
@@ -89,3 +89,15 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.formatted_conversations(turns.unionByName(extra))[1]
+
+
+@query("op11_capture_index", sql.CAPTURES)
+def op11_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages, scratch(spark, "warc"))
+    return warc.digest(warc.read_records(archive, warc.lookup(archive, pages), with_payload=False))
+
+
+@query("op13_bag_search", sql.RANKED)
+def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

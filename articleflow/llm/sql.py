@@ -147,3 +147,40 @@ SELECT doc_id, len(normal)::BIGINT AS n_sentences, coalesce(sentence_ids, '') AS
          lambda i: i <> ''), ','), '') AS unmatched
 FROM rows LEFT JOIN {last} USING (k)
 """
+
+
+# ---- op11 -----------------------------------------------------------------------------------------------------------
+
+# Five hexadecimal digits of a SHA-1 are four characters of its base32 form.
+CAPTURES = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digests AS (SELECT *, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+    ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM digests
+"""
+
+
+# ---- op13 -----------------------------------------------------------------------------------------------------------
+
+_TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+RANKED = f"""
+WITH doc_terms AS (SELECT doc_id, row_number() OVER () AS line, {_TERMS} FROM documents),
+sizes AS (SELECT line, any_value(doc_id) AS doc_id, count(*) AS n FROM doc_terms GROUP BY line),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+item_terms AS (SELECT item_id, term, count(*) AS uses FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
+tfs AS (SELECT line, term, count(*) AS tf FROM doc_terms WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL),
+dfs AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tfs, totals GROUP BY term),
+gains AS (SELECT line, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS gain
+    FROM tfs JOIN dfs USING (term) JOIN sizes USING (line), totals),
+scored AS (SELECT item_id, line, CAST(sum(gain * uses) AS BIGINT) AS score
+    FROM gains JOIN item_terms USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scored JOIN sizes USING (line) WHERE score > 0) WHERE rank <= 20
+"""
