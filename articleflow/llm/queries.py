@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from articleflow.llm import (
-    ann, bag_search, chat, decontam, licenses, line_dedup, lm, near_dup, packing, sql, token_index, toxicity, warc,
+    alignment, ann, bag_search, chat, decontam, licenses, line_dedup, lm, near_dup, packing, sql, token_index, toxicity,
+    warc,
 )
 from articleflow.session import scratch
 
@@ -98,6 +99,11 @@ def op11_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read_records(archive, warc.lookup(archive, pages), with_payload=False))
 
 
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_counts(table(spark, sf_dir, "documents"))[0]
+
+
 @query("op13_bag_search", sql.RANKED)
 def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
