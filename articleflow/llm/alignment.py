@@ -101,25 +101,22 @@ Aligned = tuple[int, int, bytes, str]
 _EMPTY: Aligned = (0, 0, b"", "")
 
 
-def _align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Aligned:
-    """(tokens of A, tokens of B, linked pairs as 64-bit B id and A id, groups in writing); both cover the same bytes.
+def _listed(groups_a: np.ndarray, groups_b: np.ndarray, strings: tuple[np.ndarray, ...], a: np.ndarray,
+            b: np.ndarray) -> list[str]:
+    """Groups in writing, token by token: the ids of A, the ids of B, group after group, each with what follows it.
 
-    No token is empty, so at most one token of each side ends at an offset, and links and groups are as many.
+    ``groups_a`` and ``groups_b`` are the numbers of the tokens that end the groups.
     """
-    groups, links = [], []
-    i = j = at_a = at_b = from_a = from_b = 0
-    while i < len(a):
-        if at_a <= at_b:
-            at_a += len(a_bytes[a[i]])
-            i += 1
-        while at_b < at_a:
-            at_b += len(b_bytes[b[j]])
-            j += 1
-        if at_a == at_b:
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            links.append(b[j - 1] << _ID_BITS | a[i - 1])
-            from_a, from_b = i, j
-    return len(a), len(b), np.array(links, "<u8").tobytes(), ";".join(groups)
+    a_comma, a_bar, b_comma, b_end = strings
+    out = np.empty(len(a) + len(b), dtype=object)
+    # Tokens of the other side that stand before: those of earlier groups, and for B also those of its own group.
+    of_a = np.searchsorted(groups_a, np.arange(len(a)))
+    of_b = np.searchsorted(groups_b, np.arange(len(b)))
+    at_a = np.arange(len(a)) + np.append(0, groups_b + 1)[of_a]
+    at_b = np.arange(len(b)) + (groups_a + 1)[of_b]
+    out[at_a], out[at_b] = a_comma[a], b_comma[b]
+    out[at_a[groups_a]], out[at_b[groups_b]] = a_bar[a[groups_a]], b_end[b[groups_b]]
+    return out.tolist()
 
 
 class Aligner:
@@ -132,63 +129,83 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, memory_words: int = MEMORY_WORDS) -> None:
         self._a, self._b = ByteTokens(a_path), PieceTokens(b_path)
+        self._lengths = [np.array([len(t) for t in side.bytes_of], dtype=np.int64) for side in (self._a, self._b)]
+        self._strings = tuple(
+            np.array([f"{i}{mark}" for i in range(len(side.bytes_of))], dtype=object)
+            for side, marks in ((self._a, ",|"), (self._b, ",;")) for mark in marks)
         self._limit = memory_words
-        self._clear()
-
-    def _clear(self) -> None:
-        # By word: tokens of A and B, links, groups. A word that the sides do not cover alike has no entry but None.
-        self._sizes: dict[str, tuple[int, int] | None] = {}
-        self._links: dict[str, bytes] = {}
-        self._groups: dict[str, str] = {}
+        # By word; groups end with a semicolon. A word that cannot be aligned alone has None.
+        self._words: dict[str, Aligned | None] = {}
 
     def whole(self, text: str) -> Aligned:
         """Alignment of one text in one piece; no tokens where a side's bytes differ from the text's."""
-        if not text:
-            return _EMPTY
         raw = (" " + text).encode("utf-8")
-        a, b = self._a.encode([" " + text])[0], self._b.encode([text])[0]
-        if b"".join(map(self._a.bytes_of.__getitem__, a)) != raw or b"".join(
-                map(self._b.bytes_of.__getitem__, b)) != raw:
+        found = self._spans([raw], self._a.encode([" " + text]), self._b.encode([text]), [np.array([len(raw)])])
+        if not text or found[0] is None:
             return _EMPTY
-        return _align(a, b, self._a.bytes_of, self._b.bytes_of)
-
-    def _cut(self, ids: list[int], bytes_of: list[bytes], ends: np.ndarray) -> list[list[int]] | None:
-        """Ids by word; None where tokens do not end with the words."""
-        reached = np.cumsum([len(bytes_of[i]) for i in ids])
-        last = np.searchsorted(reached, ends)
-        if last[-1] != len(ids) - 1 or (reached[last] != ends).any():
-            return None
-        cuts = [0, *(last + 1).tolist()]
-        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
+        n_a, n_b, links, groups = found[0][0]
+        return n_a, n_b, links, groups[:-1]
+
+    def _spans(self, raws: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]],
+               ends: list[np.ndarray]) -> list[list[Aligned] | None]:
+        """Alignments of the spans of each text that end at ``ends``; None for a text that a side does not cover, or
+        in which a span does not end with tokens of both sides."""
+        sure = [
+            b"".join(map(self._a.bytes_of.__getitem__, a)) == raw == b"".join(map(self._b.bytes_of.__getitem__, b))
+            for raw, a, b in zip(raws, ids_a, ids_b)
+        ]
+        chosen = [i for i, ok in enumerate(sure) if ok and raws[i]]
+        out: list[list[Aligned] | None] = [None] * len(raws)
+        if not chosen:
+            return out
+        # All covered texts as one: offsets run on.
+        a = np.array([t for i in chosen for t in ids_a[i]], dtype=np.int64)
+        b = np.array([t for i in chosen for t in ids_b[i]], dtype=np.int64)
+        end_a, end_b = np.cumsum(self._lengths[0][a]), np.cumsum(self._lengths[1][b])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(end_a, common), np.searchsorted(end_b, common)
+        links = (b[last_b] << _ID_BITS | a[last_a]).astype("<u8").tobytes()
+        written = _listed(last_a, last_b, self._strings, a, b)
+        bases = np.cumsum([0, *(len(raws[i]) for i in chosen)])
+        wanted = np.concatenate([base + ends[i] for base, i in zip(bases, chosen)])
+        group = np.searchsorted(common, wanted)
+        met = common[group] == wanted
+        until = np.stack([group, last_a[group], last_b[group]], axis=1) + 1
+        before = np.concatenate([np.zeros((1, 3), np.int64), until[:-1]])
+        rows = np.concatenate([before, until], axis=1).tolist()
+        at = 0
+        for i in chosen:
+            n = len(ends[i])
+            if met[at:at + n].all():
+                out[i] = [
+                    (a1 - a0, b1 - b0, links[8 * g0:8 * g1], "".join(written[a0 + b0:a1 + b1]))
+                    for g0, a0, b0, g1, a1, b1 in rows[at:at + n]
+                ]
+            at += n
+        return out
 
     def _learn(self, words: list[str]) -> None:
         """Align words that begin with a space or a line end, many in one call."""
         parts = [words[i:i + _JOINED] for i in range(0, len(words), _JOINED)]
         # A text before the first word, as a line end may begin the words; the model puts the space before it.
         joined = ["x" + "".join(part) for part in parts]
-        found_a, found_b = self._a.encode([" " + text for text in joined]), self._b.encode(joined)
-        for part, a, b in zip(parts, found_a, found_b):
-            ends = 2 + np.cumsum([0, *(len(word.encode("utf-8")) for word in part)])
-            by_a, by_b = self._cut(a, self._a.bytes_of, ends), self._cut(b, self._b.bytes_of, ends)
-            if by_a is None or by_b is None:
-                if len(part) > 1:
-                    for word in part:
-                        self._learn([word])
-                else:
-                    self._sizes[part[0]] = None
-                continue
-            for word, ids_a, ids_b in zip(part, by_a[1:], by_b[1:]):
-                raw = word.encode("utf-8")
-                if b"".join(map(self._a.bytes_of.__getitem__, ids_a)) != raw or b"".join(
-                        map(self._b.bytes_of.__getitem__, ids_b)) != raw:
-                    self._sizes[word] = None
-                    continue
-                n_a, n_b, self._links[word], self._groups[word] = _align(ids_a, ids_b, self._a.bytes_of, self._b.bytes_of)
-                self._sizes[word] = (n_a, n_b)
+        raws = [(" " + text).encode("utf-8") for text in joined]
+        ends = [2 + np.cumsum([0, *(len(word.encode("utf-8")) for word in part)]) for part in parts]
+        found = self._spans(raws, self._a.encode([" " + text for text in joined]), self._b.encode(joined), ends)
+        alone: list[str] = []
+        for part, spans in zip(parts, found):
+            if spans is not None:
+                self._words.update(zip(part, spans[1:]))
+            elif len(part) > 1:
+                alone += part
+            else:
+                self._words[part[0]] = None
+        for word in alone:
+            self._learn([word])
 
     def align(self, texts: list[str]) -> list[Aligned]:
-        if len(self._sizes) > self._limit:
-            self._clear()
+        if len(self._words) > self._limit:
+            self._words = {}
         listed: list[list[str] | None] = []
         for text in texts:
             words = text.split()
@@ -199,19 +216,18 @@ class Aligner:
                 listed.append(pieces if max(map(len, pieces)) < 100 else None)
             else:
                 listed.append(None)
-        new = set().union(*(pieces for pieces in listed if pieces)).difference(self._sizes)
+        new = set().union(*(pieces for pieces in listed if pieces)).difference(self._words)
         if new:
             self._learn(list(new))
         out = []
         for text, pieces in zip(texts, listed):
-            sizes = [self._sizes[word] for word in pieces] if pieces else [None]
-            if None in sizes:
+            spans = list(map(self._words.__getitem__, pieces)) if pieces else [None]
+            if None in spans:
                 # Rare: what a word alone cannot decide, the whole text does.
                 out.append(self.whole(text))
                 continue
-            n_a, n_b = map(sum, zip(*sizes))
-            out.append((n_a, n_b, b"".join(map(self._links.__getitem__, pieces)),
-                        ";".join(map(self._groups.__getitem__, pieces))))
+            n_a, n_b, links, groups = zip(*spans)
+            out.append((sum(n_a), sum(n_b), b"".join(links), "".join(groups)[:-1]))
         return out
 
 
