@@ -45,6 +45,8 @@ BLOCK_LINES = 3_000
 SHARD_LINES, SMALL_SHARDS, MIN_LINES = 1_000_000, 48, 3_000
 # A records file is closed beyond this many bytes; neighbouring records are read together up to READ_BYTES.
 FILE_BYTES, READ_BYTES = 1 << 30, 4 << 20
+# Bytes of records that one task reads, on average.
+TASK_BYTES = 16 << 20
 GZIP_LEVEL = 4
 # Pages carry no time of capture.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -421,7 +423,8 @@ def lookup(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame
             shard.close()
 
     asked = urls.select(F.col(url_col).alias("url")).distinct().mapInArrow(dealt, "shard int, key string").distinct()
-    ordered = asked.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
+    # Keys are narrow, what they find is not: the shards set the number of tasks, not the size of the keys.
+    ordered = asked.repartitionByRange(max(1, len(shards)), "shard", "key").sortWithinPartitions("shard", "key")
     return ordered.mapInArrow(find, _CAPTURE)
 
 
@@ -477,7 +480,10 @@ def read_records(archive: Archive, captures: DataFrame, with_payload: bool = Tru
         if source is not None:
             source.close()
 
-    places = captures.select("file", "offset", "length", "url").repartitionByRange("file", "offset")
+    # Places are narrow, records are not: the records' bytes set the number of tasks.
+    places = cut(captures.select("file", "offset", "length", "url"))
+    tasks = max(1, -(-(places.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    places = places.repartitionByRange(tasks, "file", "offset")
     return places.sortWithinPartitions("file", "offset").mapInArrow(read, _RECORD)
 
 
