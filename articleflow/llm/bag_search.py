@@ -33,8 +33,8 @@ from articleflow.session import cut
 TOP = 20
 # Words of the items of one block, as bytes; they and their lists are sent to every task.
 ITEM_BYTES = 16 << 20
-# Documents or classes handled by one step inside a task, and cells of one item x class score block.
-_ROWS, _CELLS = 1_000, 2_000_000
+# Documents handled by one step inside a task; cells of one item x class score block, and of what is added up in it.
+_ROWS, _CELLS = 1_000, 1_000_000
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -133,13 +133,24 @@ def _winners(classes: DataFrame, postings: tuple[np.ndarray, np.ndarray, np.ndar
     """The best classes of every item: (item, score, first, spot, codes, tfs, m)."""
     shared = classes.sparkSession.sparkContext.broadcast((*postings, weights))
 
+    def steps(fan: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of classes whose words stand in at most ``_CELLS`` places of the items' lists, one class at least."""
+        until, start, most = np.append(0, np.cumsum(fan)), 0, max(1, _CELLS // n_items)
+        while start < len(fan):
+            stop = int(np.searchsorted(until, until[start] + _CELLS, side="right")) - 1
+            stop = min(max(stop, start + 1), start + most)
+            yield start, stop
+            start = stop
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, users, times, weight = shared.value
+        width = np.diff(offsets)
         leaders = _Leaders(n_items, k)
-        rows = max(1, _CELLS // n_items)
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
+            ends = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy()))
+            placed = np.append(0, np.cumsum(width[batch.column(2).flatten().to_numpy()]))
+            for start, stop in steps(np.diff(placed[ends])):
+                part = batch.slice(start, stop - start)
                 size = part.num_rows
                 lists, tf = part.column(2), part.column(3).flatten().to_numpy()
                 code = lists.flatten().to_numpy()
@@ -147,7 +158,7 @@ def _winners(classes: DataFrame, postings: tuple[np.ndarray, np.ndarray, np.ndar
                 m = part.column(4).to_numpy()
                 gain = weight[code] * ((1_000_000_000 * tf) // (1000 * tf + 12 * m[row]))
                 # Every item that holds the word gets the gain, once for each time it holds it.
-                fan = offsets[code + 1] - offsets[code]
+                fan = width[code]
                 cell = np.repeat(np.arange(len(code)), fan)
                 nth = np.arange(len(cell)) - np.repeat(np.cumsum(fan) - fan, fan)
                 use = offsets[code[cell]] + nth
