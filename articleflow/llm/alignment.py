@@ -41,7 +41,7 @@ RUN_LINKS, UNIT_RECORDS = 2_000_000, 4_000_000
 # Radixes: half as many as the input has splits, within these bounds. They change the layout, not the result.
 MIN_RADIXES, MAX_RADIXES = 8, 1_024
 # Words whose alignment a worker remembers. It only saves time: the memory starts anew when it is full.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 400_000
 # Words that are encoded in one call.
 _JOINED = 50
 # A sort key holds B id, A id and the number of the document since the last spill.
