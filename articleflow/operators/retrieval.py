@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from articleflow import constants as C
 from articleflow.functions import text as X
 from articleflow.operators.joins import first_per_key, small_side
+from articleflow.operators.keyword import KeywordIndex, indexed_topk
 from articleflow.session import cut, once
 
 DECIMALS = 6
@@ -151,18 +152,9 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = C.SEARCH_LIMIT,
     return _merge(_in_blocks(queries, row_bytes, search), k)
 
 
-def keyword_index(chunks: DataFrame, key: str = "chunk_key") -> DataFrame:
-    """Postings (term, chunk, tf, chunk_len): the stored form of the keyword index."""
-    def with_length(terms: Column) -> Column:
-        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(terms).alias("chunk_len")))
-
-    listed = chunks.select(key, F.explode(X.bind(X.tokens(F.col("text")), with_length)).alias("t"))
-    return listed.groupBy("t.term", key, "t.chunk_len").agg(F.count("*").alias("tf"))
-
-
 def _code_rows(tokens: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, term code, tf) of the vocabulary terms in each token list, and the list lengths."""
-    lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
     codes = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
     rows = np.repeat(np.arange(len(lengths)), lengths)
     known = codes >= 0
@@ -171,20 +163,23 @@ def _code_rows(tokens: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.n
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = C.SEARCH_LIMIT, key: str = "chunk_key",
-                 k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+                 k1: float = C.BM25_K1, b: float = C.BM25_B, index: KeywordIndex | None = None) -> DataFrame:
     """The k best chunks by BM25 over lower-cased word tokens: (query_id, id, score, rank).
 
-    Two scans of the text: one counts the query terms' document frequencies, one scores. A chunk is scored for all
-    queries where it lies; neither its tokens nor its (query, chunk) pairs are shuffled, only k rows per query and
-    task. That keeps words found in every chunk harmless.
+    With a stored ``index`` of the chunks only the postings of the queries' terms are read (``k1`` and ``b`` are those
+    of the index). Without one, two scans of the text: one counts the query terms' document frequencies, one scores. A
+    chunk is scored for all queries where it lies; neither its tokens nor its (query, chunk) pairs are shuffled, only
+    k rows per query and task. That keeps words found in every chunk harmless.
     """
+    if index is not None:
+        return indexed_topk(queries, index, k)
     schema = _hit_schema(queries, chunks, key)
     sc = chunks.sparkSession.sparkContext
     listed = chunks.select(key, X.tokens(F.col("text")).alias("tokens"))
 
     def search(block: DataFrame) -> DataFrame:
         terms = block.select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("terms")).toArrow()
-        per_query = terms["terms"].to_pylist()
+        per_query = [row or [] for row in terms["terms"].to_pylist()]
         vocabulary = pa.array(sorted({term for row in per_query for term in row}), pa.string())
         if not len(vocabulary):
             return chunks.sparkSession.createDataFrame([], schema)
@@ -256,12 +251,12 @@ def rrf_fusion(dense: DataFrame, keyword: DataFrame, limit: int = C.SEARCH_LIMIT
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = C.SEARCH_LIMIT, key: str = "chunk_key",
-                  use_keyword: bool = True, k: int = C.RRF_K) -> DataFrame:
+                  use_keyword: bool = True, k: int = C.RRF_K, index: KeywordIndex | None = None) -> DataFrame:
     """Vector and keyword search fused; vector search alone where there is no keyword side."""
     dense = vector_topk(queries, chunks, limit, key)
     if not use_keyword:
         return dense.withColumn("dense_score", F.col("score"))
-    return rrf_fusion(dense, keyword_topk(queries, chunks, limit, key), limit, k)
+    return rrf_fusion(dense, keyword_topk(queries, chunks, limit, key, index=index), limit, k)
 
 
 def with_payload(hits: DataFrame, chunks: DataFrame, columns: list[str], key: str = "chunk_key") -> DataFrame:
@@ -315,36 +310,55 @@ def rerank_topn(hits: DataFrame, top_n: int = C.RERANKED,
     return first_per_key(scored, ["query_id"], [F.col("rerank_score").desc(), F.col("id").asc()], top_n, "rank")
 
 
-def mmr_topn(candidates: DataFrame, top_n: int = C.RERANKED, relevance: float = 0.5) -> DataFrame:
-    """Relevant but mutually dissimilar hits per query; ``candidates`` holds a query's top-k with embeddings.
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity of two arrays of one length, in doubles; 0 where one of them is a zero vector."""
+    def total(products: Column) -> Column:
+        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
-    A group is one query's retrieved candidates (k rows), never a share of the chunk table.
-    """
-    schema = T.StructType([
-        candidates.schema["query_id"], candidates.schema["id"],
-        T.StructField("mmr_score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
-    ])
+    def square(v: Column) -> Column:
+        return total(F.transform(v, lambda x: x.cast("double") * x.cast("double")))
 
-    def select(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank"]).reset_index(drop=True)
-        unit = _unit_rows(np.array(group["embedding"].tolist(), dtype=np.float64))
-        gain = group["score"].to_numpy()
-        likeness = unit @ unit.T
-        closest = np.zeros(len(group))
-        left = np.ones(len(group), dtype=bool)
-        picked, scores = [], []
-        while left.any() and len(picked) < top_n:
-            value = np.where(left, np.round(relevance * gain - (1 - relevance) * closest, DECIMALS), -np.inf)
-            choice = int(value.argmax())
-            picked.append(choice)
-            scores.append(value[choice])
-            left[choice] = False
-            closest = likeness[choice] if len(picked) == 1 else np.maximum(closest, likeness[choice])
-        out = group.loc[picked, ["query_id", "id"]]
-        return out.assign(mmr_score=scores, rank=np.arange(1, len(picked) + 1, dtype=np.int32))
-
-    return candidates.select("query_id", "id", "score", "rank", "embedding").groupBy("query_id").applyInPandas(
-        select, schema
-    )
+    norms = F.sqrt(square(a)) * F.sqrt(square(b))
+    dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+    return X.bind(norms, lambda n: F.when(n > 0, dot / n).otherwise(0.0))
 
 
+def mmr_topn(candidates: DataFrame, top_n: int = C.RERANKED, relevance: float = 0.5) -> DataFrame:
+    """Relevant but mutually dissimilar hits per query: (query_id, id, mmr_score, rank).
+
+    ``candidates`` holds a query's top-k with embeddings. A group is one query's retrieved candidates (k rows), never a
+    share of the chunk table; the greedy choice is a fold over ``top_n`` steps, in built-in functions. Ties go to the
+    better rank.
+    """
+    one = F.struct("rank", "id", F.col("score").cast("double").alias("score"), "embedding")
+    grouped = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("hits"))
+    likeness = F.transform("hits", lambda a: F.transform("hits", lambda b: cosine(a["embedding"], b["embedding"])))
+    ready = grouped.select("query_id", F.col("hits.id").alias("ids"), F.col("hits.score").alias("gain"), likeness.alias("like"))
+    # State of the fold: what was chosen (number, value), and each candidate's likeness to the closest chosen one.
+    start = F.struct(
+        F.array().cast("array<struct<at:int,value:double>>").alias("chosen"),
+        F.transform("gain", lambda g: F.lit(0.0)).alias("closest"))
+    least = F.lit(float("-inf"))
+
+    def step(state: Column, _: Column) -> Column:
+        def value(gain: Column, i: Column) -> Column:
+            worth = F.round(F.lit(relevance) * gain - F.lit(1 - relevance) * F.get(state["closest"], i), DECIMALS)
+            return F.when(F.exists(state["chosen"], lambda c: c["at"] == i), least).otherwise(worth)
+
+        def choose(values: Column) -> Column:
+            best = F.array_max(values)
+            at = (F.array_position(values, best) - 1).cast("int")
+            first = F.size(state["chosen"]) == 0
+            closest = F.zip_with(state["closest"], F.get("like", at),
+                                 lambda old, new: F.when(first, new).otherwise(F.greatest(old, new)))
+            return F.struct(
+                F.concat(state["chosen"], F.array(F.struct(at.alias("at"), best.alias("value")))).alias("chosen"),
+                closest.alias("closest"))
+
+        return X.bind(F.transform("gain", value), choose)
+
+    rounds = F.sequence(F.lit(1), F.least(F.lit(top_n), F.size("gain")))
+    picked = ready.select("query_id", "ids", F.aggregate(rounds, start, step, lambda state: state["chosen"]).alias("chosen"))
+    listed = picked.select("query_id", "ids", F.posexplode("chosen").alias("place", "c"))
+    return listed.select("query_id", F.get("ids", F.col("c.at")).alias("id"), F.col("c.value").alias("mmr_score"),
+                         (F.col("place") + 1).alias("rank"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from articleflow import constants as C
 from articleflow.functions import text as X
-from articleflow.operators import chunking, dedup, embedding, tables
+from articleflow.operators import chunking, dedup, embedding, retrieval, tables
 from articleflow.session import cut, scratch
 from catalog import sql as S
 from catalog.registry import doc_articles, query, table
@@ -72,7 +72,7 @@ def near_dup_pairs_verified(spark, sf_dir):
 
 # ---------------------------------------------------------------------------------------- chunks, embeddings
 
-@query("chunk_recursive")
+@query("chunk_recursive", f"WITH RECURSIVE {S.DOCS},{S.RECURSIVE_CHUNKS} SELECT doc_id, chunk_id, text FROM rchunks")
 def chunk_recursive(spark, sf_dir):
     return chunking.chunk_recursive(doc_articles(spark, sf_dir, heavy=True)).select("doc_id", "chunk_id", "text")
 
@@ -118,16 +118,19 @@ def embed_chunks(spark, sf_dir):
     return embedded.select("chunk_key", micro("embedding").alias("embedding"))
 
 
-@query("mock_embeddings", f"""WITH {S.DOCS},{S.CHUNKS}
-SELECT chunk_key, {C.EMBEDDING_DIM} AS dim, 0.0::DOUBLE AS norm, 0.0::DOUBLE AS cosine FROM chunks""")
+@query("mock_embeddings", f"""WITH {S.DOCS},{S.CHUNKS},{S.embed('cv', 'chunks', 'chunk_key', 'text', 64)},
+norms AS (SELECT chunk_key, sqrt(sum(x * x)) AS norm FROM cv GROUP BY 1)
+SELECT chunk_key, 64 AS dim, 0.0::DOUBLE AS norm, 0.0::DOUBLE AS mock_cosine,
+  CASE WHEN norm > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS own_cosine FROM chunks LEFT JOIN norms USING (chunk_key)""")
 def mock_embeddings(spark, sf_dir):
-    zero = keyed_chunks(spark, sf_dir).withColumn(
-        "embedding", embedding.embedding_or_mock(F.lit(None).cast("array<float>"))
-    )
-    squares = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    cosine = F.when(F.col("norm") > 0, 1.0).otherwise(0.0)
-    return zero.select("chunk_key", F.size("embedding").alias("dim"), F.sqrt(squares).alias("norm")).withColumn(
-        "cosine", cosine
+    """The stand-in vector of every chunk against the chunk's real one, and the real one against itself."""
+    real = embedding.embed_chunks(keyed_chunks(spark, sf_dir), embedding.hash_embedder(64)).select("chunk_key", "embedding")
+    both = real.withColumn("mock", embedding.embedding_or_mock(F.lit(None).cast("array<float>"), 64))
+    squares = F.aggregate("mock", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return both.select(
+        "chunk_key", F.size("mock").alias("dim"), F.sqrt(squares).alias("norm"),
+        retrieval.cosine(F.col("mock"), F.col("embedding")).alias("mock_cosine"),
+        F.round(retrieval.cosine(F.col("embedding"), F.col("embedding")), 6).alias("own_cosine"),
     )
 
 
