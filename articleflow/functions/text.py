@@ -75,6 +75,7 @@ _TAG = r"""(?s)<[/!?]?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _NODE_BREAK = "\u0001"
 
 
+_COMMON_NAMES = ("&amp;", "&lt;", "&gt;", "&quot;", "&nbsp;")
 # A text in parts: character references, runs without "&", and each remaining "&".
 _PARTS = r"(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"
 
@@ -84,6 +85,8 @@ def _decode_entities(text: Column) -> Column:
 
     Unknown names stay as they are; numbers that are no character (or the node mark) become U+FFFD.
     """
+    # A look-up walks through the map: names that texts are full of have a short one, met first.
+    common = F.create_map(*[F.lit(x) for name in _COMMON_NAMES for x in (name, C.NAMED_REFERENCES[name])])
     names = F.from_json(F.lit(json.dumps(C.NAMED_REFERENCES)), "map<string,string>")
 
     def decode(part: Column) -> Column:
@@ -97,7 +100,7 @@ def _decode_entities(text: Column) -> Column:
         return (
             F.when(~F.startswith(part, F.lit("&")), part)
             .when(F.startswith(part, F.lit("&#")) & (F.length(part) > 2), char)
-            .otherwise(F.coalesce(F.try_element_at(names, part), part))
+            .otherwise(F.coalesce(F.try_element_at(common, part), F.try_element_at(names, part), part))
         )
 
     parts = F.transform(F.regexp_extract_all(text, F.lit(_PARTS), 1), decode)

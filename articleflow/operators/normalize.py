@@ -43,21 +43,37 @@ def parse_messages(messages: DataFrame, schema: T.StructType = ARTICLE) -> DataF
     )
 
 
-def quarantine_bad_records(messages: DataFrame, schema: T.StructType = ARTICLE,
-                           required: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good records, dead letters): malformed messages never stop the flow.
+def judged_messages(messages: DataFrame, schema: T.StructType = ARTICLE,
+                    required: tuple[str, ...] | None = None) -> DataFrame:
+    """Messages with ``record`` and ``reason``: null for a good record, else why the message is a dead letter.
 
     A record without one of the ``required`` fields is a dead letter too (an article needs its id and url), as are
-    empty messages; every message is in one of the two.
+    empty messages.
     """
     if required is None:
         required = ("article_id", "url") if schema is ARTICLE else ()
     parsed = parse_messages(messages, schema)
-    kept = [f"record.{field.name}" for field in schema.fields]
-    fine = F.col("record").isNotNull() & F.col("_corrupt").isNull()
+    empty = X.strip(F.coalesce("value", F.lit(""))) == ""
+    reason = F.when(empty, "empty").when(F.col("_corrupt").isNotNull() | F.col("record").isNull(), "malformed")
     for name in required:
-        fine &= F.col(f"record.{name}").isNotNull()
-    return parsed.filter(fine).select(*kept), parsed.filter(~fine).select("value")
+        reason = reason.when(F.col(f"record.{name}").isNull(), f"no {name}")
+    return parsed.withColumn("reason", reason)
+
+
+def good_records(judged: DataFrame, schema: T.StructType = ARTICLE) -> DataFrame:
+    return judged.filter("reason is null").select(*[f"record.{field.name}" for field in schema.fields])
+
+
+def dead_letters(judged: DataFrame) -> DataFrame:
+    """(value, reason) of the messages that are no good records."""
+    return judged.filter("reason is not null").select("value", "reason")
+
+
+def quarantine_bad_records(messages: DataFrame, schema: T.StructType = ARTICLE,
+                           required: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good records, dead letters): malformed messages never stop the flow; every message is in one of the two."""
+    judged = judged_messages(messages, schema, required)
+    return good_records(judged, schema), dead_letters(judged)
 
 
 def unwrap_envelope(messages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from articleflow.functions import text as X
+from articleflow.operators import keyfilter
 from articleflow.operators.joins import first_per_key, small_side
 from articleflow.session import cut
 
@@ -17,8 +18,19 @@ def keep_first_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def exact_url_dedup(articles: DataFrame, order: list[str]) -> DataFrame:
-    """Same link, same article id, one article."""
-    return keep_first_by_key(articles.withColumn("article_id", X.url_uuid(F.col("url"))), "article_id", order)
+    """Same link, same article id, one article: the first in ``order``, which must tell the rows of a link apart.
+
+    Only links that occur more than once are ranked, by identifier and order columns; all other rows, and the texts of
+    these, stay where they are.
+    """
+    named = articles.withColumn("article_id", X.url_uuid(F.col("url")))
+    place = F.struct(*order)
+    firsts = named.groupBy("article_id").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    repeated = small_side(cut(firsts.filter("_n > 1").select("article_id", "_first")))
+    marked = named.join(repeated, "article_id", "left")
+    # Only rows that share a link and its first place are left to be ranked.
+    chosen = keep_first_by_key(marked.filter(F.col("_first") == place), "article_id", order)
+    return marked.filter(F.col("_first").isNull()).unionByName(chosen).drop("_first")
 
 
 def absent_rows(batch: DataFrame, target: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -27,7 +39,10 @@ def absent_rows(batch: DataFrame, target: DataFrame, key: str, order: list[str])
     Only the key column of the target is read. It is first reduced to the batch's keys, which are broadcast while
     they are few, so that the table is scanned but not shuffled.
     """
-    fresh = cut(keep_first_by_key(batch, key, order))
+    return _not_stored(cut(keep_first_by_key(batch, key, order)), target, key)
+
+
+def _not_stored(fresh: DataFrame, target: DataFrame, key: str) -> DataFrame:
     taken = target.select(key).join(small_side(fresh.select(key)), key, "left_semi")
     return fresh.join(taken, key, "left_anti")
 
@@ -53,20 +68,53 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def drop_partitions_before(spark: SparkSession, path: str, column: str, day: str) -> list[str]:
+    """Delete the day partitions (``column=YYYY-MM-DD``) of a table that lie before ``day``; their days.
+
+    Partitions are listed, not scanned. Deleting them again, as a replay does, changes nothing.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(root) if status.isDirectory()]
+    days = sorted(name.split("=", 1)[1] for name in names if name.startswith(f"{column}="))
+    gone = [found for found in days if found < day and found[:1].isdigit()]
+    for found in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{column}={found}"), True)
+    return gone
+
+
+def replace_batch(batch: DataFrame, path: str, batch_id: int, run: str = "run") -> None:
+    """Write the rows of one micro-batch as its own partition (``run``, ``batch_id``): a replay overwrites only itself."""
+    (
+        batch.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch_id").parquet(path)
+    )
+
+
 def append_absent(batch: DataFrame, path: str, key: str, order: list[str], batch_id: int, run: str = "run") -> None:
     """Insert-if-absent into a Parquet table partitioned by ``run`` and ``batch_id``; the first write of a key stays.
 
     ``run`` names the stream that counts the batches: another one, as after a fresh checkpoint, starts at 0 again. A
-    replayed batch ignores only what it wrote itself and overwrites that, so the outcome is the same.
+    replayed batch ignores only what it wrote itself and overwrites that, so the outcome is the same. Of the table only
+    partitions whose key filter lets one of the batch's keys pass are read, and of those only the key column.
     """
+    spark = batch.sparkSession
+    fresh = cut(keep_first_by_key(batch, key, order))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields) + ", run string, batch_id bigint"
     own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
-    target = read_or_empty(batch.sparkSession, path, schema).filter(~own).drop("run", "batch_id")
-    (
-        absent_rows(batch, target, key, order)
-        .withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch_id").parquet(path)
-    )
+    target = read_or_empty(spark, path, schema).filter(~own)
+    wanted = keyfilter.partitions_to_read(fresh, key, path)
+    if wanted is not None:
+        name = F.concat_ws("/", "run", F.col("batch_id").cast("string"))
+        target = target.filter(name.isin([f"{a}/{b}" for a, b in sorted(wanted)])) if wanted else target.limit(0)
+    # Without its filter a partition is read whole, so one that is being rewritten has none.
+    keyfilter.drop_filter(spark, path, batch_id, run)
+    added = _not_stored(fresh, target.drop("run", "batch_id"), key)
+    replace_batch(added, path, batch_id, run)
+    stored = spark.read.schema(schema).parquet(path).filter(own)
+    keyfilter.write_filter(stored.select(key), path, key, batch_id, run)
 
 
 def upsert_into(batch: DataFrame, path: str, key: str, order: list[Column], part: str = "day",

@@ -38,20 +38,25 @@ LOG = T.StructType([
     T.StructField("exception", T.StringType()),
 ])
 
-FEED_ITEM = T.StructType([
-    T.StructField("link", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("author", T.StringType()),
-    T.StructField("pubDate", T.StringType()),
-    T.StructField("category", T.ArrayType(T.StringType())),
+_LINK = T.StructType([
+    T.StructField("_VALUE", T.StringType()), T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType()),
 ])
 
-ATOM_ENTRY = T.StructType([
-    T.StructField("link", T.StructType([T.StructField("_href", T.StringType())])),
+# One element of a feed, whichever form it has: RSS items and Atom entries share what they have in common.
+FEED_ELEMENT = T.StructType([
+    T.StructField("link", T.ArrayType(_LINK)),
+    T.StructField("guid", T.StructType([
+        T.StructField("_VALUE", T.StringType()), T.StructField("_isPermaLink", T.StringType())])),
     T.StructField("title", T.StringType()),
+    T.StructField("description", T.StringType()),
     T.StructField("summary", T.StringType()),
-    T.StructField("author", T.StructType([T.StructField("name", T.StringType())])),
+    T.StructField("content", T.StringType()),
+    T.StructField("content:encoded", T.StringType()),
+    T.StructField("author", T.ArrayType(T.StructType([
+        T.StructField("_VALUE", T.StringType()), T.StructField("name", T.StringType())]))),
+    T.StructField("dc:creator", T.ArrayType(T.StringType())),
+    T.StructField("pubDate", T.StringType()),
     T.StructField("published", T.StringType()),
-    T.StructField("category", T.ArrayType(T.StructType([T.StructField("_term", T.StringType())]))),
+    T.StructField("category", T.ArrayType(T.StructType([
+        T.StructField("_VALUE", T.StringType()), T.StructField("_term", T.StringType())]))),
 ])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from articleflow import constants as C
 from articleflow.operators.dedup import arrival_order, banded, first_arrivals
 from articleflow.operators.joins import salted_join, small_side
-from articleflow.operators.tables import read_or_empty
+from articleflow.operators.tables import drop_partitions_before, read_or_empty
 from articleflow.session import cut
 
 _STORE = "bucket string, expires_at timestamp, expires_day date, run string, batch_id bigint"
@@ -23,8 +23,9 @@ def near_dup_batch(batch: DataFrame, store: str, batch_id: int, order: list[str]
                    ttl_seconds: int = C.FINGERPRINT_TTL_SECONDS, run: str = "run") -> DataFrame:
     """Survivors of one micro-batch against the remembered fingerprints and each other; remembers them.
 
-    The store holds the buckets of kept articles, partitioned by expiry day (old days are never read), run and batch.
-    A replayed batch ignores its own earlier fingerprints and overwrites them; another run's batches are others.
+    The store holds the buckets of kept articles, partitioned by expiry day, run and batch. Days that have expired at
+    ``as_of`` are not read, and are deleted once the batch is written. A replayed batch ignores its own earlier
+    fingerprints and overwrites them; another run's batches are others.
     """
     spark = batch.sparkSession
     batch = batch.dropDuplicates(order)  # at-least-once delivery may repeat a message within the batch
@@ -48,6 +49,7 @@ def near_dup_batch(batch: DataFrame, store: str, batch_id: int, order: list[str]
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("expires_day", "run", "batch_id").parquet(store)
     )
+    drop_partitions_before(spark, store, "expires_day", str(spark.range(1).select(today.alias("day")).first()["day"]))
     dropped = cut(items.select("_order").join(kept, "_order", "left_anti"))
     ordered = batch.withColumn("_order", arrival_order(order))
     return ordered.join(small_side(dropped), "_order", "left_anti").drop("_order")

@@ -14,8 +14,8 @@ from articleflow.functions import text as X
 from articleflow.operators.chunking import chunk_recursive
 from articleflow.operators.embedding import Embedder, embed_chunks
 from articleflow.operators.joins import first_per_key, small_side
-from articleflow.operators.normalize import article_rows
-from articleflow.operators.tables import append_absent, upsert_into
+from articleflow.operators.normalize import article_rows, dead_letters, good_records, judged_messages
+from articleflow.operators.tables import append_absent, replace_batch, upsert_into
 from articleflow.session import cut, scratch_space
 from articleflow.streaming.dedup import near_dup_batch
 
@@ -30,10 +30,11 @@ class Stores:
     articles: str = field(init=False)
     chunks: str = field(init=False)
     fingerprints: str = field(init=False)
+    dead_letters: str = field(init=False)
     checkpoints: str = field(init=False)
 
     def __post_init__(self) -> None:
-        for name in ("articles", "chunks", "fingerprints", "checkpoints"):
+        for name in ("articles", "chunks", "fingerprints", "dead_letters", "checkpoints"):
             object.__setattr__(self, name, os.path.join(self.root, name))
 
 
@@ -77,9 +78,15 @@ def ingest_batch(batch: DataFrame, batch_id: int, stores: Stores, order: list[st
 
 def start_ingest(messages: DataFrame, stores: Stores, order: list[str] | None = None, once: bool = False,
                  as_of: Column | None = None, load: Callable[[], Embedder] | None = None) -> StreamingQuery:
-    """The streaming query over decoded article messages: every 30 minutes, or once over what has landed."""
+    """The streaming query over article messages: every 30 minutes, or once over what has landed.
+
+    ``messages`` are decoded articles, or raw texts (one column ``value``). Of raw texts the malformed ones are written
+    to the dead-letter table (value, reason, run, batch_id) by the batch that indexes the good ones; a replayed batch
+    overwrites its own dead letters.
+    """
     now = F.current_timestamp() if as_of is None else as_of
     sequence = order or ["scraped_at", "article_id"]
+    raw = messages.columns == ["value"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         with scratch_space(batch.sparkSession):
@@ -87,7 +94,12 @@ def start_ingest(messages: DataFrame, stores: Stores, order: list[str] | None =
             # One time for all of the batch's jobs; the query's id lasts as long as its checkpoint.
             fixed = F.lit(spark.range(1).select(now.alias("now")).first()["now"])
             run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "run"
-            ingest_batch(cut(batch), batch_id, stores, sequence, fixed, load, run)
+            batch = cut(batch)
+            if raw:
+                judged = cut(judged_messages(batch))
+                replace_batch(dead_letters(judged), stores.dead_letters, batch_id, run)
+                batch = good_records(judged)
+            ingest_batch(batch, batch_id, stores, sequence, fixed, load, run)
 
     writer = messages.writeStream.foreachBatch(step).option("checkpointLocation", stores.checkpoints)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INGEST_PERIOD)).start()

@@ -10,7 +10,7 @@ from articleflow.plans import ingest as plan
 from articleflow.session import scratch
 from articleflow.sources import feeds, logs, topics
 from catalog import sql as S
-from catalog.registry import AS_OF, as_of, doc_articles, iso, page_articles, query, spread_table, table
+from catalog.registry import AS_OF, DOC_URL, as_of, doc_articles, iso, page_articles, query, spread_table, table
 
 
 @query("feed_entries", f"""SELECT url AS link, {S.page_title('html')} AS title, md5(html) AS summary_md5 FROM pages""")
@@ -19,6 +19,88 @@ def feed_entries(spark, sf_dir):
     return entries.select("link", "title", F.md5("summary").alias("summary_md5"))
 
 
+# Documents as feed elements: even sources are RSS feeds, odd ones Atom feeds. Every fifth element has no
+# text, every seventh of the others is broken, every third has no tags, every second no author; dates come in two forms, unreadable, or not at all. One source
+# lies in a folder that is no feed's.
+STRAY_FEED = "folder=src3"
+
+
+def feed_documents(spark, sf_dir):
+    """(folder, page, document): feed documents of at most 100 elements each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    n = F.col("doc_id")
+
+    def escaped(text):
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(char), F.lit(name))
+        return text
+
+    def tag(name, body, when=None):
+        whole = F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name.split()[0]}>"))
+        return whole if when is None else F.when(when, whole).otherwise("")
+
+    text = F.when(n % 7 == 6, F.concat(escaped(F.col("text")), F.lit(" <b>"))).otherwise(escaped(F.col("text")))
+    arrived = F.expr("timestampadd(MINUTE, cast(doc_id as int), timestamp'2024-01-01 00:00:00')")
+    mailed = F.concat(F.date_format(arrived, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    date = F.when(n % 4 == 0, mailed).when(n % 4 == 1, F.date_format(arrived, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    link, title = F.concat(F.lit(DOC_URL), n.cast("string")), F.concat(F.lit("Doc &amp; "), n.cast("string"))
+    has_text, has_tags, has_author, has_date = n % 5 != 0, n % 3 != 0, n % 2 == 0, n % 4 != 3
+    rss = F.concat(
+        F.lit("<item>"), tag("title", title), tag("link", link), tag("description", text, has_text),
+        tag("pubDate", date, has_date), tag("category", F.col("lang"), has_tags),
+        tag("category", F.col("source"), has_tags), tag("dc:creator", F.lit("Ann"), has_author), F.lit("</item>"))
+    atom = F.concat(
+        F.lit("<entry>"), tag("title type=\"html\"", title), F.concat(F.lit("<link href=\""), link, F.lit("\"/>")),
+        tag("summary", text, has_text), tag("published", date, has_date),
+        F.when(has_tags, F.concat(F.lit("<category term=\""), F.col("lang"), F.lit("\"/><category term=\""),
+                                  F.col("source"), F.lit("\"/>"))).otherwise(""),
+        tag("author", F.lit("<name>Ann</name>"), has_author), F.lit("</entry>"))
+    is_rss = F.substring("source", 4, 10).cast("int") % 2 == 0
+    elements = docs.select(F.col("source").alias("folder"), (n / 100).cast("int").alias("page"), is_rss.alias("is_rss"),
+                           n.alias("n"), F.when(is_rss, rss).otherwise(atom).alias("xml"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "xml"))), lambda e: e["xml"]), "\n")
+    pages = elements.groupBy("folder", "page", "is_rss").agg(body.alias("body"))
+    document = F.when(F.col("is_rss"), F.concat(F.lit("<rss version=\"2.0\"><channel><title>c</title>"), F.col("body"),
+                                                F.lit("</channel></rss>"))).otherwise(
+        F.concat(F.lit("<feed><title>c</title>"), F.col("body"), F.lit("</feed>")))
+    return pages.select("folder", document.alias("value"))
+
+
+def landed_feed_entries(spark, sf_dir):
+    """(entries, rejected) of all documents, landed as feed files in one folder per source."""
+    landing = scratch(spark, "feeds")
+    feed_documents(spark, sf_dir).write.partitionBy("folder").text(landing)
+    named = table(spark, sf_dir, "documents").select("source").distinct().select(
+        F.concat(F.lit("folder="), "source").alias("folder"),
+        F.concat(F.lit("https://www."), "source", F.lit("-news.example/feed")).alias("feed_url"))
+    return feeds.landed_entries(feeds.feed_files(spark, landing), named.filter(F.col("folder") != STRAY_FEED))
+
+
+@query("feed_files", f"""WITH texts AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN '' ELSE
+    replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END AS body,
+    '{DOC_URL}' || doc_id AS link FROM documents WHERE NOT (doc_id % 7 = 6 AND doc_id % 5 <> 0) AND source <> 'src3')
+SELECT {S.uuid5('link')} AS article_id, link AS url, 'Doc & ' || doc_id AS title, md5({S.html_text('body')}) AS content_md5,
+  upper(source[1]) || source[2:] || '-News' AS source, CASE WHEN doc_id % 2 = 0 THEN 'Ann' ELSE 'Unknown' END AS author,
+  CASE WHEN doc_id % 4 < 2 THEN {S.iso("TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE")} ELSE '{AS_OF}' END AS published_date,
+  CASE WHEN doc_id % 3 = 0 THEN 'General' ELSE lang || ',' || source END AS categories,
+  CAST(len({S.words('body')}) AS INT) AS word_count FROM texts""")
+def feed_files(spark, sf_dir):
+    """Feed files of all sources, RSS and Atom in one scan, normalised."""
+    entries, _ = landed_feed_entries(spark, sf_dir)
+    articles = normalize.normalize_articles(entries, as_of())
+    return articles.select(
+        "article_id", "url", "title", F.md5("content").alias("content_md5"), "source", "author",
+        iso("published_date").alias("published_date"), F.array_join("categories", ",").alias("categories"),
+        F.col("metadata.word_count").alias("word_count"),
+    )
+
+
+@query("feed_rejects", """SELECT CASE WHEN broken THEN 'malformed' ELSE 'unknown feed' END AS reason, count(*) AS n
+FROM (SELECT source, doc_id % 7 = 6 AND doc_id % 5 <> 0 AS broken FROM documents) WHERE broken OR source = 'src3' GROUP BY 1""")
+def feed_rejects(spark, sf_dir):
+    return landed_feed_entries(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("normalize_articles", f"""WITH {S.PAGES}
 SELECT article_id, arts.url, title, content, source, 'Unknown' AS author, '{AS_OF}' AS published_date,
   'General' AS categories, CAST(len({S.words('html')}) AS INT) AS word_count FROM arts JOIN pages USING (page_id)""")

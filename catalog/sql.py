@@ -123,11 +123,12 @@ win{r} AS MATERIALIZED (SELECT doc_id FROM slots JOIN first{r} USING (bucket) WH
 lose{r} AS MATERIALIZED (SELECT DISTINCT doc_id FROM slots WHERE doc_id IN (FROM und{r}) AND doc_id NOT IN (FROM win{r})
   AND bucket IN (SELECT bucket FROM slots WHERE doc_id IN (FROM win{r}))),
 und{r + 1} AS MATERIALIZED (FROM und{r} WHERE doc_id NOT IN (FROM win{r}) AND doc_id NOT IN (FROM lose{r}))""")
-    parts.append("kept AS MATERIALIZED (" + " UNION ALL ".join(f"FROM win{r}" for r in range(n)) + ")")
+    lost = f" UNION ALL SELECT CAST(error('more rounds are needed') AS BIGINT) FROM und{n}"
+    parts.append("kept AS MATERIALIZED (" + " UNION ALL ".join(f"FROM win{r}" for r in range(n)) + lost + ")")
     return ",".join(parts)
 
 
-# The filter's fixpoint, six rounds unrolled (the given tables settle within three).
+# The filter's fixpoint, six rounds unrolled (the given tables settle within three); it fails if a document is left undecided.
 _FILTER = f"{SHINGLES},{SIGNATURES},{SLOTS},{_rounds(6)}"
 KEPT = f"{DOCS},{_FILTER}"
 # The same filter over pages.
@@ -149,6 +150,55 @@ chunks AS MATERIALIZED (
   FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM pieces))"""
 
 
+def _recursive_chunks(size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> str:
+    """The recursive split as a work list of (span, separator level).
+
+    A span without its level's separator goes to the next level. One with it is cut in front of each separator; pieces
+    of at least ``size`` go on, runs of shorter ones are packed. A chunk that starts at piece f ends before the first
+    piece x that does not fit; the next one starts at the first piece behind f that leaves at most the overlap and lets
+    x fit, else at x. Spans of the last level are cut into fixed windows.
+    """
+    marks = [m for m in C.CHUNK_SEPARATORS if m]
+    parts = ["span0 AS (SELECT doc_id, 0 AS lo, len(content) AS hi FROM docs WHERE content <> '')"]
+    for n, text in enumerate(marks):
+        mark = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in text)
+        parts.append(f"""
+split{n} AS MATERIALIZED (SELECT doc_id, lo, hi, string_split(substr(content, lo + 1, hi - lo), {mark}) AS parts
+  FROM span{n} JOIN docs USING (doc_id)),
+ends{n} AS (SELECT doc_id, lo, k, lo + {len(text)} * (k - 1) + sum(len(part)) OVER (PARTITION BY doc_id, lo ORDER BY k) AS b
+  FROM (SELECT doc_id, lo, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS k FROM split{n} WHERE len(parts) > 1)),
+pieces{n} AS (SELECT doc_id, lo, k, lag(b, 1, lo) OVER (PARTITION BY doc_id, lo ORDER BY k) AS a, b FROM ends{n}),
+ran{n} AS MATERIALIZED (SELECT *, b - a >= {size} AS big, count(*) FILTER (b - a >= {size}) OVER (
+    PARTITION BY doc_id, lo ORDER BY k) AS run FROM pieces{n} WHERE b > a),
+span{n + 1} AS MATERIALIZED (SELECT doc_id, lo, hi FROM split{n} WHERE len(parts) = 1
+  UNION ALL SELECT doc_id, a, b FROM ran{n} WHERE big)""")
+    runs = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS level, lo, run, list(a ORDER BY k) AS s, list(b ORDER BY k) AS e FROM ran{n} WHERE NOT big "
+        "GROUP BY doc_id, lo, run" for n in range(len(marks)))
+    step = size - overlap
+    parts.append(f"""
+runs AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM ({runs})),
+packed AS (
+  SELECT id, 1 AS f, list_min(list_filter(range(2, len(e) + 1), lambda y: e[y] - s[1] > {size})) AS x FROM runs
+  UNION ALL
+  SELECT id, g, list_min(list_filter(range(x + 1, len(e) + 1), lambda y: e[y] - s[g] > {size})) FROM (
+    SELECT id, s, e, x, coalesce(list_min(list_filter(range(f + 1, x), lambda j: s[x] - s[j] <= {overlap}
+      AND e[x] - s[j] <= {size})), x) AS g FROM packed JOIN runs USING (id) WHERE x IS NOT NULL)),
+spans AS (
+  SELECT doc_id, s[f] AS a, CASE WHEN x IS NULL THEN e[-1] ELSE s[x] END AS b FROM packed JOIN runs USING (id)
+  UNION ALL
+  SELECT doc_id, a, least(a + {size}, hi) FROM (SELECT doc_id, hi, lo + {step} * unnest(range(0, 1 + CAST(
+    ceil(greatest(hi - lo - {size}, 0) / {step}) AS INT))) AS a FROM span{len(marks)})),
+rchunks AS MATERIALIZED (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INT) AS chunk_id, text
+  FROM (SELECT doc_id, a, {strip('substr(content, CAST(a AS INT) + 1, CAST(b - a AS INT))')} AS text
+        FROM spans JOIN docs USING (doc_id)) WHERE text <> '')""")
+    return ",".join(parts)
+
+
+RECURSIVE_CHUNKS = _recursive_chunks()
+
+
 def embed(name: str, source: str, key: str, text: str, dim: int = C.EMBEDDING_DIM) -> str:
     """Sparse float32 embedding rows (key, dim, x) of ``source``."""
     return f"""

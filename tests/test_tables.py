@@ -92,6 +92,18 @@ def test_recent_and_date_filter(spark):
     assert tables.within_date_filter(frame, "24h", as_of).count() == 2
 
 
+def land(root, files):
+    for name, text in files.items():
+        os.makedirs(os.path.join(root, os.path.dirname(name)), exist_ok=True)
+        with open(os.path.join(root, name), "wb") as out:
+            out.write(text if isinstance(text, bytes) else text.encode())
+
+
+def named_feeds(spark):
+    return spark.createDataFrame([("blog", "https://www.some-blog.example/feed"), ("an atom", "https://a.example/atom")],
+                                 "folder string, feed_url string")
+
+
 def test_feeds(spark, root):
     rss = """<rss><channel><title>c</title>
     <item><title>One</title><link>https://www.some-blog.example/1</link><description>&lt;p&gt;Hello &lt;b&gt;x&lt;/b&gt;&lt;/p&gt;</description>
@@ -99,11 +111,9 @@ def test_feeds(spark, root):
     <item><title>Two</title><link>https://www.some-blog.example/2</link></item></channel></rss>"""
     atom = """<feed><entry><title>Three</title><link href="https://a.example/3"/><summary>text</summary>
     <author><name>Ann</name></author><published>2024-02-06T00:00:00Z</published><category term="ML"/></entry></feed>"""
-    for name, text in (("rss.xml", rss), ("atom.xml", atom)):
-        with open(os.path.join(root, name), "w") as out:
-            out.write(text)
-    entries = feeds.rss_entries(spark, os.path.join(root, "rss.xml"), "https://www.some-blog.example/feed").unionByName(
-        feeds.atom_entries(spark, os.path.join(root, "atom.xml"), "https://a.example/atom"))
+    land(root, {"blog/rss.xml": rss, "an atom/feed.xml": atom})
+    entries, rejected = feeds.landed_entries(feeds.feed_files(spark, root), named_feeds(spark))
+    assert rejected.count() == 0
     rows = {r["title"]: r for r in normalize.normalize_articles(entries, F.to_timestamp(F.lit("2024-03-01"))).collect()}
     one, two, three = rows["One"], rows["Two"], rows["Three"]
     assert (one["content"], one["source"], one["author"], one["categories"]) == ("Hello x", "Some-Blog", "Unknown", ["AI", "Chips"])
@@ -112,6 +122,48 @@ def test_feeds(spark, root):
     assert (three["author"], three["categories"], three["url"]) == ("Ann", ["ML"], "https://a.example/3")
 
 
+def test_feed_forms_and_rejects(spark, root):
+    rss = """<?xml version="1.0"?><rss xmlns:dc="x"><channel><link>of the channel</link><!-- <item><title>No</title></item> -->
+    <item><title><![CDATA[T <b>w</b>o <!-- x --> </item>]]></title><guid>https://b.example/2</guid>
+    <content:encoded><![CDATA[<p>body</p>]]></content:encoded><dc:creator>Bob</dc:creator><category/></item>
+    <item><title>bad & broken</title><link>u</link></item><item><title>no link</title><guid isPermaLink="false">7</guid></item>
+    </channel></rss>"""
+    atom = """<a:feed xmlns:a="y"><a:entry><title>prefixed</title></a:entry></a:feed>
+    <feed><entry xml:lang="en"><title type="html">A &amp;amp; B</title><link rel="self" href="s"/><link href=" https://a.example/3 "/>
+    <summary type="html"></summary><content type="html">&lt;i&gt;whole&lt;/i&gt;</content><author><name>Ann</name></author>
+    <author><name>Ben</name></author></entry></feed>"""
+    latin = '<?xml version="1.0" encoding="ISO-8859-1"?><rss><item><title>été</title><link>q</link></item></rss>'.encode("latin1")
+    wide = "<rss><item><title>wide é</title><link>w</link></item></rss>".encode("utf-16")
+    land(root, {"blog/1.xml": rss, "an atom/1.xml": atom, "stray/1.xml": "<item><link>l</link></item>", "blog/2.xml": latin,
+                "blog/3.xml": wide, "blog/4.xml": b"", "blog/5.xml": "no feed at all"})
+    entries, rejected = feeds.landed_entries(feeds.feed_files(spark, root), named_feeds(spark))
+    rows = {r["link"]: r for r in entries.collect()}
+    assert set(rows) == {"https://b.example/2", "https://a.example/3", "q", "w"}
+    two, three = rows["https://b.example/2"], rows["https://a.example/3"]
+    assert (two["title"], two["summary"], two["author"], two["tags"]) == ("T <b>w</b>o <!-- x --> </item>", "<p>body</p>", "Bob", None)
+    assert (three["title"], three["summary"], three["author"]) == ("A &amp; B", "<i>whole</i>", "Ann")
+    assert rows["q"]["title"] == "été" and rows["w"]["title"] == "wide é"
+    assert sorted(r["reason"] for r in rejected.collect()) == ["malformed", "no link", "no link", "unknown feed"]
+
+
+def test_feeds_as_a_stream(spark, root):
+    landing = os.path.join(root, "landing")
+    for n in range(2):
+        land(landing, {f"blog/{n}.xml": f"<rss><item><title>t{n}</title><link>l{n}</link></item></rss>"})
+        entries, _ = feeds.landed_entries(feeds.feed_files(spark, landing, stream=True), named_feeds(spark))
+        entries.writeStream.format("parquet").option("path", os.path.join(root, "out")).option(
+            "checkpointLocation", os.path.join(root, "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["link"] for r in spark.read.parquet(os.path.join(root, "out")).collect()) == ["l0", "l1"]
+
+
+def test_url_dedup_keeps_one_row(spark):
+    rows = [("u1", 2, "b"), ("u1", 1, "a"), ("u1", 1, "a"), ("u2", 5, "c"), (None, 1, "x"), (None, 2, "y")]
+    frame = spark.createDataFrame(rows, "url string, place int, content string")
+    kept = tables.exact_url_dedup(frame, ["place"])
+    assert sorted((r["url"] or "", r["place"], r["content"]) for r in kept.collect()) == [
+        ("", 1, "x"), ("u1", 1, "a"), ("u2", 5, "c")]
+
+
 def test_envelopes_and_quarantine(spark):
     values = ['{"article": {"article_id": "1", "url": "u"}, "chunks": [{"chunk_id": 0, "text": "t"}]}',
               '{"article_id": "2", "title": "x", "url": "v"}', "{}", '{"article": nul', "null", ""]
@@ -245,3 +297,147 @@ def test_stream_from_files(spark, root):
     assert left == []  # the micro-batch removed its scratch tables
     articles(spark, ("c", ONE, 2), ("d", THREE, 3)).select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(landing)
     assert run() == ["u/a", "u/b", "u/d"]
+
+
+# ------------------------------------------------------------------------------------ lifetimes, dead letters, logs
+
+def folders(path, column):
+    return sorted(name.split("=")[1] for name in os.listdir(path) if name.startswith(f"{column}="))
+
+
+def test_expired_fingerprints_are_deleted(spark, root):
+    store = os.path.join(root, "fingerprints")
+
+    def put(batch_id, when, *texts):
+        frame = spark.createDataFrame([(f"{batch_id}-{i}", t, when) for i, t in enumerate(texts)],
+                                      "article_id string, content string, scraped_at string").withColumn("title", F.lit("t"))
+        kept = dedup.near_dup_batch(frame, store, batch_id, ["scraped_at", "article_id"], F.to_timestamp(F.lit(when)))
+        return sorted(r["article_id"] for r in kept.collect())
+
+    one, two = "a text of several words", "quite another text of words"
+    assert put(0, "2024-01-01 00:00:00", one) == ["0-0"]
+    assert put(1, "2024-01-05 00:00:00", one, two) == ["1-1"]
+    assert folders(store, "expires_day") == ["2024-01-08", "2024-01-12"]
+    # The first fingerprint has expired: its text is new again, and its day is gone. A replay finds the same.
+    for _ in range(2):
+        assert put(2, "2024-01-10 00:00:00", one, two) == ["2-0"]
+        assert folders(store, "expires_day") == ["2024-01-12", "2024-01-17"]
+
+
+def test_expired_answers_are_deleted(spark, root):
+    from articleflow.plans import answer
+
+    def responses(*queries):
+        return spark.createDataFrame(
+            [(q, q, "ctx", "a", ["s"], False, False, 1, q) for q in queries],
+            "query_id string, query string, context string, answer string, sources array<string>, used_realtime boolean, "
+            "reranked boolean, local_results_count int, query_processed string")
+
+    def at(when):
+        return F.to_timestamp(F.lit(when))
+
+    answer.store_answers(responses("q1"), root, at("2024-01-01 10:00:00"))
+    answer.store_answers(responses("q2"), root, at("2024-01-01 23:30:00"))
+    path = answer.cache_path(root, None)
+    assert folders(path, "expires_day") == ["2024-01-01", "2024-01-02"]
+    answer.store_answers(responses("q3"), root, at("2024-01-02 00:10:00"))
+    assert folders(path, "expires_day") == ["2024-01-02"]
+    assert answer.stored_cache(spark, root).count() == 2
+    assert answer.stored_cache(spark, os.path.join(root, "nowhere")).count() == 0
+
+
+def test_article_sinks_replay(spark, root):
+    landing, good, bad = (os.path.join(root, name) for name in ("in", "good", "bad"))
+    values = ['{"article_id": "1", "url": "u"}', '{"article_id": "2"}', '{"broken', " ", '{"url": "v"}']
+    spark.createDataFrame([(v,) for v in values], "value string").write.text(landing)
+    topics.start_article_sinks(topics.message_stream(spark, "text", {"path": landing}), good, bad,
+                               os.path.join(root, "ck"), once=True).awaitTermination()
+    assert [r["article_id"] for r in spark.read.parquet(good).collect()] == ["1"]
+    reasons = sorted((r["reason"], r["value"]) for r in spark.read.parquet(bad).collect())
+    assert reasons == [("empty", " "), ("malformed", '{"broken'), ("no article_id", '{"url": "v"}'), ("no url", '{"article_id": "2"}')]
+    # A replayed batch replaces itself.
+    run = spark.read.parquet(bad).select("run").first()[0]
+    judged = normalize.judged_messages(spark.createDataFrame([(v,) for v in values], "value string"))
+    tables.replace_batch(normalize.dead_letters(judged), bad, 0, run)
+    assert spark.read.parquet(bad).count() == 4
+
+
+def test_logs_keep_other_fields_and_broken_lines(spark):
+    from articleflow.sources import logs
+
+    values = ['{"service": "a", "line": 7, "user": {"id": 5}, "tags": ["x"], "none": null}', '{"service": "b", "line": "bad"}',
+              "{cut", "[1, 2]", '"text"', "", None, "   ", "{}"]
+    lines = spark.createDataFrame([(v,) for v in values], "value string")
+    rows = logs.decode_logs(lines).select(
+        "service", "line", F.variant_get(F.col("extra")["user"], "$.id", "int").alias("user"),
+        F.variant_get(F.col("extra")["line"], "$", "string").alias("odd"), F.map_keys("extra").alias("names")).collect()
+    found = {r["service"]: (r["line"], r["user"], r["odd"], sorted(r["names"])) for r in rows}
+    assert found["a"][:3] == (7, 5, None) and set(found["a"][3]) >= {"tags", "user"} and "service" not in found["a"][3]
+    assert found["b"] == (None, None, "bad", ["line"])
+    assert found[None] == (None, None, None, []) and len(rows) == 3
+    assert sorted(r["value"] for r in logs.broken_lines(lines).collect()) == ['"text"', "[1, 2]", "{cut"]
+
+
+def test_log_index_replay_on_another_day(spark, root):
+    from articleflow.sources import logs
+
+    index = spark.createDataFrame([("m", "2024.01.01")], "message string, day string")
+    logs.write_log_index(index, root + "/index", 0, "r")
+    logs.write_log_index(index.withColumn("day", F.lit("2024.01.02")), root + "/index", 0, "r")
+    stored = spark.read.parquet(root + "/index").select("message", "day").collect()
+    assert [tuple(r) for r in stored] == [("m", "2024.01.02")]
+
+
+def test_late_rows_do_not_reopen_windows(spark, root):
+    from articleflow.streaming import logs
+
+    landing = os.path.join(root, "in")
+
+    def run(*times):
+        rows = spark.createDataFrame([(t, "s", "INFO") for t in times], "ts string, service string, level string")
+        rows.withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(landing)
+        events = spark.readStream.schema("ts timestamp, service string, level string").parquet(landing)
+        logs.level_windows(events, "1 hour", "30 minutes").writeStream.format("parquet").outputMode("append").option(
+            "path", os.path.join(root, "out")).option("checkpointLocation", os.path.join(root, "ck")).trigger(
+            availableNow=True).start().awaitTermination()
+        out = spark.read.schema("window_start timestamp, service string, level string, n long").parquet(os.path.join(root, "out"))
+        return sorted((r["window_start"].hour, r["n"]) for r in out.collect())
+
+    assert run("2024-01-01 00:10:00", "2024-01-01 00:50:00", "2024-01-01 01:20:00") == []
+    # Within the lateness a row still counts; 01:40 closes the first window.
+    assert run("2024-01-01 00:55:00", "2024-01-01 01:40:00") == [(0, 3)]
+    assert run("2024-01-01 00:59:00", "2024-01-01 02:45:00") == [(0, 3), (1, 2)]
+
+
+def test_inserts_read_only_partitions_that_may_hold_a_key(spark, root, monkeypatch):
+    from articleflow.operators import keyfilter
+
+    path, schema = os.path.join(root, "t"), "url string, title string"
+    for batch_id in range(50):
+        rows = [(f"u{batch_id}-{i}", "old") for i in range(20)]
+        tables.append_absent(spark.createDataFrame(rows, schema), path, "url", ["title"], batch_id)
+    asked = spark.createDataFrame([("u7-3", "new"), ("u31-0", "new"), ("u99-1", "new"), (None, "new")], schema)
+    wanted = keyfilter.partitions_to_read(asked, "url", path)
+    assert {("run", "7"), ("run", "31")} <= wanted and len(wanted) <= 4
+    for _ in range(2):
+        tables.append_absent(asked, path, "url", ["title"], 50)
+        added = spark.read.parquet(path).filter("title = 'new'")
+        # A null key is never the same as another one, as in a unique column.
+        assert sorted(r["url"] or "" for r in added.collect()) == ["", "u99-1"]
+    # Without filters, and for batches too large to test, everything is read.
+    monkeypatch.setattr(keyfilter, "PROBE_KEYS", 1)
+    assert keyfilter.partitions_to_read(asked, "url", path) is None
+    keyfilter.drop_filter(spark, path, 3, "run")
+    monkeypatch.setattr(keyfilter, "PROBE_KEYS", 100)
+    assert ("run", "3") in keyfilter.partitions_to_read(asked.limit(0), "url", path)
+
+
+def test_key_filters():
+    import numpy as np
+
+    from articleflow.operators import keyfilter
+
+    draw = np.random.default_rng(1)
+    known, foreign = draw.integers(-2**63, 2**63 - 1, 5000), draw.integers(-2**63, 2**63 - 1, 200_000)
+    raw = keyfilter._filter(known)
+    assert keyfilter._passes(raw, known).all() and keyfilter._passes(raw, foreign).sum() <= 5
