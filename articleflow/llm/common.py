@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sides of at most this many bytes are sent to every task; their size is measured first.
@@ -59,6 +61,16 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         yield start, part
 
 
+def sent_to_tasks(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives ``value`` to a task.
+
+    The value is broadcast as bytes that carry its classes, as functions of this package do, so that workers need no
+    copy of the package to read it.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
     """What ``make`` gave when this worker process first asked for ``name``: costly tools outlive a task."""
     home = sys.modules.setdefault("articleflow_worker", types.ModuleType("articleflow_worker"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import id_bucket, text_slices
+from articleflow.llm.common import id_bucket, sent_to_tasks, text_slices
 from articleflow.session import cut
 
 # Classes of one word, and classes by word ending.
@@ -248,10 +248,10 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
 
 def _trained(texts: DataFrame, vocabulary: Vocabulary) -> Model:
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = sent_to_tasks(spark, vocabulary)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.prepare()
+        known = shared().prepare()
         trainer = Trainer(Model.start(known.class_share), known.class_share)
         for batch in batches:
             for _, part in text_slices(batch.column(0)):
@@ -301,10 +301,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     training = named.filter(id_bucket("doc_id", folds) != held_out).select("text")
     counts = cut(count_words(training))
     vocabulary = _vocabulary(counts)
-    shared = spark.sparkContext.broadcast((vocabulary, _trained(training, vocabulary)))
+    shared = sent_to_tasks(spark, (vocabulary, _trained(training, vocabulary)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
+        known, model = shared()
         known.prepare()
         for batch in batches:
             for start, part in text_slices(batch.column(2)):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import id_bucket, text_slices
+from articleflow.llm.common import id_bucket, sent_to_tasks, text_slices
 from articleflow.session import cut
 
 # Texts of each label that training uses at most, chosen by a hash of their ids.
@@ -392,10 +392,10 @@ def score_texts(docs: DataFrame, network: Network, id_col: str = "doc_id", text_
     columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = sent_to_tasks(docs.sparkSession, network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared())
         for batch in batches:
             scores = [scorer.score(part) for _, part in text_slices(batch.column(2), 1 << 19)]
             yield pa.RecordBatch.from_arrays(
