@@ -64,10 +64,11 @@ def hits(found):
     (5, 50_000, {}), (12, 100, {"group_postings": 500}), (3, 64, {"query_terms_limit": 4})])
 def test_indexed_search_equals_brute_force(spark, root, monkeypatch, k, slice_chunks, options):
     monkeypatch.setattr(keyword, "BLOCK", 16)
+    monkeypatch.setattr(keyword, "_DIRECT", 0 if k != 5 else 100_000)
     texts = corpus_texts()
     chunks = spark.createDataFrame([(key, t) for key, t in texts.items()], "chunk_key string, text string").repartition(5)
     queries = spark.createDataFrame(ASKED, "query_id int, query string")
-    index = keyword.write_index(chunks, root, slice_chunks=slice_chunks)
+    index = keyword.write_index(chunks, root, slice_chunks=slice_chunks, parts=7)
     want = brute_bm25(texts, ASKED, k)
     assert hits(keyword.indexed_topk(queries, index, k, **options)) == want
     assert hits(keyword.indexed_topk(queries, keyword.open_index(spark, root), k, **options)) == want
@@ -85,7 +86,7 @@ def test_index_of_nothing(spark, root):
 def test_a_word_of_every_chunk_is_spread_and_other_parts_stay_closed(spark, root):
     texts = corpus_texts()
     chunks = spark.createDataFrame([(key, t) for key, t in texts.items()], "chunk_key string, text string")
-    index = keyword.write_index(chunks, root, slice_chunks=100)
+    index = keyword.write_index(chunks, root, slice_chunks=100, parts=16)
     lists = index.postings.filter("term = 'the'").groupBy("slice").agg(F.sum(F.size("ords")).alias("n")).collect()
     assert len(lists) == index.slices >= 12 and max(r["n"] for r in lists) <= 200
     assert sum(r["n"] for r in lists) == 1201
@@ -98,7 +99,8 @@ def test_a_word_of_every_chunk_is_spread_and_other_parts_stay_closed(spark, root
     assert re.search(rf"PartitionFilters: \[[^\]]*part#\d+ = {part}\)", plan._jdf.queryExecution().executedPlan().toString())
 
 
-def test_bounds_skip_blocks_without_changing_the_result():
+def test_bounds_skip_blocks_without_changing_the_result(monkeypatch):
+    monkeypatch.setattr(keyword, "_DIRECT", 0)
     draw = np.random.default_rng(5)
     size, k = 4000, 10
     lists, every = {}, {}
