@@ -110,8 +110,12 @@ FROM dw LEFT JOIN hit USING (k) LEFT JOIN named USING (k)
 
 
 def licenses() -> str:
-    """Sentences against the list of wordings; rules one after the other on the chain of identifiers."""
-    wordings = ", ".join(f"('{wording}', '{sid}')" for wording, sid in {w: s for s, w in SENTENCES}.items())
+    """Pieces of texts are walked through from left to right: behind the number of a clause or not, the longest wording
+    that ends where a piece does is a sentence, else the piece is one. Then rules one after the other on the chain of
+    identifiers. Texts without any wording need no walk."""
+    named = {wording: sid for sid, wording in SENTENCES}
+    wordings = ", ".join(f"('{wording}', '{sid}')" for wording, sid in named.items())
+    known = "[" + ", ".join(f"'{w}'" for w in sorted(named, key=lambda w: (-len(w), w))) + "]"
     steps, last = [], "chains"
     for nth, (_, rule) in enumerate(RULES):
         pattern = "".join(f"<{i}>" for i in rule)
@@ -124,15 +128,30 @@ def licenses() -> str:
         "CASE WHEN " + " + ".join(f"hits_{i}" for i, (n, _) in enumerate(RULES) if n == name) + f" > 0 THEN '{name}' END"
         for name in names)
     return rf"""
-WITH wordings(wording, sid) AS (VALUES {wordings}),
-rows AS (SELECT row_number() OVER () AS k, doc_id, list_filter(list_transform(
+WITH RECURSIVE wordings(wording, sid) AS (VALUES {wordings}),
+rows AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, list_filter(list_transform(
   string_split_regex(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t\r\n\f]+', '\1' || chr(10), 'g'), '[\r\n]+'),
   lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS normal FROM documents),
-places AS (SELECT k, unnest(normal) AS sentence, unnest(range(len(normal))) AS i FROM rows),
+lines AS MATERIALIZED (SELECT k, '|' || array_to_string(normal, '|') || '|' AS p,
+  ' ' || array_to_string(normal, ' ') || ' ' AS q FROM rows),
+told AS MATERIALIZED (SELECT * FROM lines WHERE len(list_filter({known}, lambda w: contains(q, w))) > 0),
+walk AS (
+  SELECT k, 0 AS i, 1 AS pos, CAST(NULL AS VARCHAR) AS sentence FROM told
+  UNION ALL
+  SELECT k, i + 1, CAST(e AS INT), substr(q, s, e - s) FROM (
+    SELECT *, coalesce(s + len(wording), s - 1 + strpos(substr(p, s), '|')) AS e FROM (
+      SELECT *, list_filter({known}, lambda w: substr(q, s, len(w)) = w AND substr(p, s + len(w), 1) = '|')[1] AS wording FROM (
+        SELECT *, pos + 1 + CASE WHEN len(list_filter({known}, lambda w: substr(q, pos + 1 + number, len(w)) = w)) > 0
+          THEN number ELSE 0 END AS s FROM (
+          SELECT k, i, pos, p, q, len(regexp_extract(substr(p, pos + 1, 5), '^(?:[0-9]{{1,2}}|[a-z]|[ivx]{{1,4}})[ |]')) AS number
+          FROM walk JOIN told USING (k) WHERE pos < len(p)))))),
+places AS (SELECT k, sentence, i FROM walk WHERE i > 0
+  UNION ALL SELECT k, unnest(normal), unnest(range(len(normal))) FROM rows WHERE k NOT IN (SELECT k FROM told)),
 named AS (
   SELECT k, i, coalesce(sid, CASE WHEN regexp_matches(sentence, '^copyright (c )?[0-9]{{4}}.*$') THEN 'copyright' END, '?') AS sid
   FROM places LEFT JOIN wordings ON sentence = wording
 ),
+sizes AS (SELECT k, count(*) AS n FROM places GROUP BY k),
 chains AS (
   SELECT k, string_agg(sid, ',' ORDER BY i) FILTER (WHERE sid <> '?') AS sentence_ids,
          coalesce(string_agg(CASE WHEN sid = '?' THEN '#' ELSE '<' || sid || '>' END, '' ORDER BY i)
@@ -140,12 +159,12 @@ chains AS (
   FROM named GROUP BY k
 ),
 {", ".join(steps)}
-SELECT doc_id, len(normal)::BIGINT AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
        concat_ws(',', {found}) AS licenses,
        coalesce({" + ".join(f"hits_{i}" for i in range(len(RULES)))}, 0)::BIGINT AS n_matches,
        coalesce(array_to_string(list_filter(string_split(regexp_replace(chain, '[#<]+', '', 'g'), '>'),
          lambda i: i <> ''), ','), '') AS unmatched
-FROM rows LEFT JOIN {last} USING (k)
+FROM rows LEFT JOIN {last} USING (k) LEFT JOIN sizes USING (k)
 """
 
 
