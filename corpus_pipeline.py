@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from articleflow.functions.text import strip
 from articleflow.llm import decontam, line_dedup, near_dup, packing, toxicity
 from articleflow.llm.common import fresh
 from articleflow.session import cut
@@ -20,14 +21,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stood earlier; one that has nothing else left goes.
+    """Documents without the passages that stood earlier; one that has only white space left goes.
 
     ``n_chars``, where there is one, follows the text.
     """
     (mark,) = fresh(docs, "n_removed_lines")
     done = line_dedup.dedup_lines(docs)
     touched = F.col(mark) > 0
-    done = done.filter(~touched | (F.trim("text") != ""))
+    done = done.filter(~touched | (strip(F.col("text")) != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(touched, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
