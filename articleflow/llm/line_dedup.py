@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import BROADCAST_BYTES, fresh, text_slices
+from articleflow.operators.joins import salted_join
 from articleflow.session import cut
 
 MIN_WORDS = 50
@@ -53,6 +54,14 @@ def line_runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int,
         yield places[s], places[e], key, int.from_bytes(min(part)[:8], "little", signed=True)
 
 
+def _met(runs: DataFrame, one: DataFrame, key: str, row_bytes: int) -> DataFrame:
+    """``runs`` with the row of ``one`` for their key: by broadcast while that is small, else with hot keys split."""
+    one = cut(one)
+    if one.count() * row_bytes <= BROADCAST_BYTES:
+        return runs.join(F.broadcast(one), key)
+    return salted_join(runs, one, [key], ["doc_id", "first"])
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, first, last): the repeated shortest runs, whose union is to be deleted."""
@@ -82,11 +91,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("doc_id", "text_hash", "first", "last")
     shared = runs.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     shared = shared.filter("low <> high").select("fingerprint")
-    near = runs.join(shared, "fingerprint", "left_semi").drop("fingerprint")
+    near = _met(runs, shared, "fingerprint", 16).drop("fingerprint")
     earliest = near.groupBy("run").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
     same_doc = F.col("doc_id").eqNullSafe(F.col("earliest.doc_id")) & (
         F.col("text_hash") == F.col("earliest.text_hash"))
-    return near.join(earliest, "run").filter(
+    return _met(near, earliest, "run", 96).filter(
         F.when(same_doc, F.col("earliest.last") < F.col("first")).otherwise(True)
     ).select("doc_id", "text_hash", "first", "last")
 
@@ -112,27 +121,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spans = repeated_runs(docs, id_col, text_col, min_words).groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    spans = cut(spans.select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"),
-                             F.transform("spans", lambda s: s["first"]).alias("_first"),
-                             F.transform("spans", lambda s: s["last"]).alias("_last")))
-    size = spans.agg(F.sum(64 + 8 * F.size("_first"))).first()[0] or 0
+    cut_id, cut_hash, firsts, lasts, text, removed = fresh(
+        docs, "_cut_id", "_cut_hash", "_first", "_last", "_kept_text", "n_removed_lines")
+    spans = cut(spans.select(F.col("doc_id").alias(cut_id), F.col("text_hash").alias(cut_hash),
+                             F.transform("spans", lambda s: s["first"]).alias(firsts),
+                             F.transform("spans", lambda s: s["last"]).alias(lasts)))
+    size = spans.agg(F.sum(64 + 8 * F.size(firsts))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
-    text, removed = fresh(docs, "_kept_text", "n_removed_lines")
 
     @F.pandas_udf("text string, removed long")
-    def strip(texts, firsts, lasts):
+    def strip(texts, starts, ends):
         import pandas as pd
 
-        done = [_without(t, list(zip(a, b))) for t, a, b in zip(texts, firsts, lasts)]
+        done = [_without(t, list(zip(a, b))) for t, a, b in zip(texts, starts, ends)]
         return pd.DataFrame({"text": pd.Series([d[0] for d in done], dtype=object),
                              "removed": pd.Series([d[1] for d in done], dtype="int64")})
 
     text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    same = docs[id_col].eqNullSafe(spans["_cut_id"]) & (text_hash == spans["_cut_hash"])
+    same = docs[id_col].eqNullSafe(spans[cut_id]) & (text_hash == spans[cut_hash])
     joined = docs.join(spans, same, "left")
-    touched = joined.filter("_first is not null").withColumn(text, strip.asNondeterministic()(text_col, "_first", "_last"))
-    rest = joined.filter("_first is null")
+    touched = joined.filter(F.col(firsts).isNotNull()).withColumn(text, strip.asNondeterministic()(text_col, firsts, lasts))
+    rest = joined.filter(F.col(firsts).isNull())
     columns = [c for c in docs.columns]
     changed = touched.select(
         *[F.col(f"{text}.text").alias(c) if c == text_col else F.col(c) for c in columns],
