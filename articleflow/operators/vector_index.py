@@ -5,8 +5,12 @@ Centroids are fitted on a bounded sample of the vectors; every vector is then st
 Each cell keeps the widest angle between its centroid and a vector, so that a cell that cannot hold a better hit is
 known without reading it: ``exact=True`` goes on with the other cells until no better hit is possible.
 
-Layout below ``path``: ``vectors`` (Parquet, partitioned by cell; key, embedding, shard) and ``cells`` (cell, centroid,
-n, widest). A cell with very many vectors, as of copies of one, is searched in shards of bounded size.
+How many cells are probed is measured when the index is written: a bounded sample of the vectors is searched exactly, and
+as many of the nearest cells are probed as hold the wanted share of its hits.
+
+Layout below ``path``: ``vectors`` (Parquet, partitioned by cell; key, embedding, shard), ``cells`` (cell, centroid, n,
+widest) and ``figures`` (probes). A cell with very many vectors, as of copies of one, is searched in shards of bounded
+size.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow import constants as C
+from articleflow.operators import retrieval
 from articleflow.operators.joins import small_side
 from articleflow.operators.keyword import DECIMALS, merge_topk
 from articleflow.session import cut
@@ -35,8 +40,8 @@ SAMPLE = 20_000
 MIN_CELLS, MAX_CELLS = 4, 4_096
 # Vectors of one shard of a cell, and queries searched together.
 SHARD_VECTORS, QUERY_BLOCK = 20_000, 10_000
-# Share of the cells that a query probes.
-PROBE_SHARE = 0.25
+# Share of the nearest vectors that probing is to find, and the sample of vectors that sets the number of probes.
+RECALL, PROBE_QUERIES = 0.95, 256
 # Angles are computed in doubles; bounds within this distance may still tie.
 _SLACK = 1e-6
 
@@ -48,6 +53,7 @@ class VectorIndex:
     vectors: DataFrame
     cells: DataFrame
     dim: int
+    probes: int
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -76,9 +82,13 @@ def _fit(vectors: DataFrame, cells: int, sample: int, seed: int) -> np.ndarray:
 
 
 def write_vector_index(vectors: DataFrame, path: str, key: str = "chunk_key", cells: int | None = None,
-                       sample: int = SAMPLE, shard_vectors: int = SHARD_VECTORS, seed: int = 7) -> VectorIndex:
+                       sample: int = SAMPLE, shard_vectors: int = SHARD_VECTORS, recall: float = RECALL,
+                       seed: int = 7) -> VectorIndex:
     """Index the vectors of a chunk table (``key``, ``embedding``) below ``path``.
 
+    Queries will probe as many cells as hold the share ``recall`` of the ten nearest vectors of ``PROBE_QUERIES``
+    sampled ones, in one scan of the vectors.
+
     Vectors that are null, of another length than most, or hold null or non-finite components are left out.
     Zero vectors are kept; their cosine with anything is 0.
     """
@@ -118,17 +128,44 @@ def write_vector_index(vectors: DataFrame, path: str, key: str = "chunk_key", ce
     widest = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "least"))).alias("widest")
     sizes.join(F.broadcast(around), "cell").select("cell", "centroid", "n", widest).coalesce(1).write.parquet(
         os.path.join(path, "cells"))
+    probes = _needed_probes(_opened(spark, path, 0), recall, seed)
+    spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.parquet(os.path.join(path, "figures"))
     return open_vector_index(spark, path)
 
 
+def _needed_probes(index: VectorIndex, wanted: float, seed: int, k: int = C.SEARCH_LIMIT) -> int:
+    """The least number of nearest cells that hold the wanted share of the sampled vectors' hits, their own left out."""
+    if not index.dim:
+        return 1
+    stored = index.vectors.select("key", "embedding")
+    sampled = cut(stored.orderBy(F.xxhash64("key", F.lit(seed + 1)), "key").limit(PROBE_QUERIES).select(
+        F.col("key").alias("query_id"), "embedding"))
+    exact = retrieval.vector_topk(sampled, stored, k + 1, "key").filter(F.col("id") != F.col("query_id"))
+    placed = index.vectors.select(F.col("key").alias("id"), "cell").join(small_side(cut(exact)), "id")
+    near = _near_cells(sampled, index).select("query_id", F.posexplode("cells").alias("nearness", "c")).select(
+        "query_id", "nearness", "c.cell")
+    # One row per number of cells.
+    counts = placed.join(near, ["query_id", "cell"]).groupBy("nearness").count().orderBy("nearness").collect()
+    total, so_far = sum(row["count"] for row in counts), 0
+    for row in counts:
+        so_far += row["count"]
+        if so_far >= wanted * total:
+            return row["nearness"] + 1
+    return 1
+
+
 def open_vector_index(spark: SparkSession, path: str) -> VectorIndex:
     """An index written before."""
+    return _opened(spark, path, spark.read.parquet(os.path.join(path, "figures")).first()["probes"])
+
+
+def _opened(spark: SparkSession, path: str, probes: int) -> VectorIndex:
     cells = spark.read.parquet(os.path.join(path, "cells"))
     first = cells.select(F.size("centroid")).first()
     if first is None:
         # No vector was stored: the folder has no partition to take the columns from.
-        return VectorIndex(spark.createDataFrame([], "key string, embedding array<float>, shard int, cell int"), cells, 0)
-    return VectorIndex(spark.read.parquet(os.path.join(path, "vectors")), cells, first[0])
+        return VectorIndex(spark.createDataFrame([], "key string, embedding array<float>, shard int, cell int"), cells, 0, probes)
+    return VectorIndex(spark.read.parquet(os.path.join(path, "vectors")), cells, first[0], probes)
 
 
 def _near_cells(queries: DataFrame, index: VectorIndex) -> DataFrame:
@@ -201,11 +238,11 @@ def _nothing(schema: T.StructType) -> pa.Table:
     return to_arrow_schema(schema).empty_table()
 
 
-def probed_topk(queries: DataFrame, index: VectorIndex, k: int = C.SEARCH_LIMIT, probe_share: float = PROBE_SHARE,
+def probed_topk(queries: DataFrame, index: VectorIndex, k: int = C.SEARCH_LIMIT, probes: int | None = None,
                 exact: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest vectors by cosine: (query_id, id, score, rank), as ``vector_topk`` gives them.
 
-    A query probes ``probe_share`` of the cells, nearest first. Queries that found fewer than ``k`` go on with all
+    A query probes ``probes`` cells (those of the index if not given), nearest first. Queries that found fewer than ``k`` go on with all
     other cells; with ``exact=True`` every query goes on with those other cells that can still hold a better or equal
     hit. Queries without a comparable vector find nothing.
     """
@@ -217,7 +254,7 @@ def probed_topk(queries: DataFrame, index: VectorIndex, k: int = C.SEARCH_LIMIT,
     asked = _comparable(queries.select("query_id", "embedding"), index.dim)
     ranked = cut(_near_cells(asked, index))
     n_cells = index.cells.count()
-    probes = max(1, math.ceil(probe_share * n_cells))
+    probes = min(n_cells, max(1, probes or index.probes))
     listed = ranked.select("query_id", "embedding", F.posexplode("cells").alias("nearness", "c")).select(
         "query_id", "embedding", "nearness", "c.cell", "c.best")
     first = cut(_probe(listed.filter(F.col("nearness") < probes), index, k, query_block))
