@@ -13,7 +13,8 @@ from catalog.documents import keyed_chunks, stored_chunks
 from catalog.registry import doc_articles, query, requests, table
 
 
-# Indexes that were written in this application, by kind and input: an index is written once and searched many times.
+# Tables that were written in this application, by kind and input: as after an ingest, the chunk table and its index are
+# written once and searched many times.
 _WRITTEN = {}
 
 
@@ -33,9 +34,18 @@ def stored_vector_index(spark, sf_dir):
         table(spark, sf_dir, "embeddings"), path, "vec_id"))
 
 
+def stored_embedded_chunks(spark, sf_dir):
+    def write(path):
+        columns = ("chunk_key", "chunk_id", "text", "article_id", "url")
+        embedding.embed_chunks(keyed_chunks(spark, sf_dir).select(*columns)).write.parquet(path)
+        return path
+
+    return spark.read.parquet(written("chunks", spark, sf_dir, write))
+
+
 def corpus(spark, sf_dir, external=None, pages=None):
-    """Embedded chunk table over all documents, with its keyword index."""
-    chunks = embedding.embed_chunks(stored_chunks(spark, sf_dir))
+    """Stored chunk table with embeddings over all documents, and its keyword index."""
+    chunks = stored_embedded_chunks(spark, sf_dir)
     return Corpus(chunks, doc_articles(spark, sf_dir), external or {}, pages, stored_keyword_index(spark, sf_dir))
 
 
