@@ -72,26 +72,45 @@ def _lengthened(vectors: np.ndarray, scale: float) -> np.ndarray:
     return np.concatenate([vectors, np.sqrt(np.maximum(scale * scale - squares, 0))[:, None]], axis=1)
 
 
+def _by_distance() -> tuple[np.ndarray, np.ndarray]:
+    """(all differences of a substring, fewest bits first; how many have at most 0, 1, ... bits)."""
+    differences = np.arange(1 << SUBSTRING_BITS, dtype=np.uint16)
+    bits = np.bitwise_count(differences)
+    return differences[np.argsort(bits, kind="stable")], np.cumsum(np.bincount(bits))
+
+
 class MultiIndex:
-    """Value-to-rows indexes of all substrings of a shard's codes."""
+    """Look-up tables of all substrings of a shard's codes: the rows of every value lie together."""
 
     def __init__(self, codes: np.ndarray) -> None:
         self.codes = codes
+        self.differences, self.upto = _by_distance()
         self.tables = []
         for column in codes.T:
-            order = np.argsort(column, kind="stable")
-            values, starts = np.unique(column[order], return_index=True)
-            self.tables.append((values, starts, np.append(starts[1:], len(column)) - starts, order))
+            counts = np.bincount(column, minlength=1 << SUBSTRING_BITS)
+            present = np.flatnonzero(counts).astype(np.uint16)
+            self.tables.append((np.append(0, np.cumsum(counts)), np.argsort(column, kind="stable"), present))
 
     def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of all codes that differ from ``code`` in at most ``radius`` bits."""
+        """(rows, distances) of all codes that differ from ``code`` in at most ``radius`` bits.
+
+        Of each substring the values within its share of the radius are looked up, or, if those are more than the
+        values that occur, the latter are compared.
+        """
         share, extra = divmod(radius, len(self.tables))
         hit = np.zeros(len(self.codes), dtype=bool)
-        for nth, (values, starts, counts, order) in enumerate(self.tables):
+        for nth, (offsets, order, present) in enumerate(self.tables):
             # radius = m * share + extra: extra + 1 substrings probed up to share and the others to one less suffice.
-            near = np.flatnonzero(np.bitwise_count(values ^ code[nth]) <= (share if nth <= extra else share - 1))
-            n = counts[near]
-            hit[order[np.repeat(starts[near] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+            bits = min(share if nth <= extra else share - 1, SUBSTRING_BITS)
+            if bits < 0:
+                continue
+            if self.upto[bits] < len(present):
+                values = (self.differences[:self.upto[bits]] ^ code[nth]).astype(np.int64)
+            else:
+                values = present[np.bitwise_count(present ^ code[nth]) <= bits].astype(np.int64)
+            starts = offsets[values]
+            n = offsets[values + 1] - starts
+            hit[order[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
         rows = np.flatnonzero(hit)
         distance = np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int64)
         near = distance <= radius
@@ -137,7 +156,7 @@ def _grid(queries: DataFrame, rows: DataFrame, codes: Codes, width: int, radius:
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)],
                         names=["query_id", "vec_id", "score", "distance"])
 
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).alias("shard")
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
     left = rows.select("vec_id", "embedding", shard, F.explode(_numbers(blocks)).alias("block"))
     right = queries.select("query_id", "embedding", F.explode(_numbers(shards)).alias("shard"), block)
@@ -165,7 +184,8 @@ def nearest(vectors: DataFrame, query_filter: str, id_col: str = "vec_id", vecto
     Queries are the usable vectors whose ``vec_id`` fulfils ``query_filter``; every usable row with another id is a
     candidate. Ties go to the smaller id. Vectors that are null, zero, hold null or non-finite components, have no id
     or another length than most take no part. A query that finds fewer than k within the radius is searched again
-    among all candidates; it gets fewer rows only if there are fewer candidates. Repeated rows are candidates each.
+    among all candidates; it gets fewer rows only if there are fewer candidates. Repeated rows are candidates each;
+    an id with several vectors asks with the one that sorts first.
     """
     lengths = usable(vectors, id_col, vector_col).groupBy(F.size("embedding").alias("width")).count()
     most = lengths.orderBy(F.col("count").desc(), F.col("width").desc()).first()
@@ -174,11 +194,11 @@ def nearest(vectors: DataFrame, query_filter: str, id_col: str = "vec_id", vecto
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, total = most["width"], most["count"]
     rows = usable(vectors, id_col, vector_col, width)
-    queries = rows.filter(query_filter).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    queries = rows.filter(query_filter).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     scale = float(np.sqrt(rows.agg(F.max(square)).first()[0]))
     # Both are bounded samples.
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(FIT_ROWS).select("embedding").toArrow()
     codes = Codes.fit(_matrix(sample["embedding"], width), scale)
     bits = codes.basis.shape[1]
     cores = spark.sparkContext.defaultParallelism

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from articleflow.llm import ann, chat, decontam, licenses, line_dedup, lm, near_dup, packing, token_index, toxicity
 from articleflow.llm.components import components
@@ -152,6 +153,34 @@ def test_decontamination(spark, docs, none):
     assert decontam.clean(none, items).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 30_000])
+def test_codes_within_a_radius(size):
+    """Both ways of probing, by values within reach and by values that occur, find every code within the radius."""
+    rng = np.random.default_rng(size)
+    codes = rng.integers(0, 1 << 16, (size, 3)).astype(np.uint16)
+    codes[size // 2:] = codes[0] ^ (rng.random((size - size // 2, 3)) < 0.3).astype(np.uint16)
+    index = ann.MultiIndex(codes)
+    for radius in (0, 1, 2, 7, 20, 48):
+        rows, distance = index.within(codes[0], radius)
+        every = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
+        assert rows.tolist() == np.flatnonzero(every <= radius).tolist() and (distance == every[rows]).all()
+
+
+def test_nearest_with_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 30, rng.normal(size=6).tolist()) for i in range(90)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn(
+        "shard", F.lit("x"))
+    found = [sorted(map(tuple, ann.nearest(frame.repartition(n), "vec_id % 10 = 0", k=5).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+    for query in (0, 10, 20):
+        asked = np.array(min(v for i, v in rows if i == query))
+        # The search may miss some, but it asks with the id's first vector.
+        scores = {(i, round(float(np.dot(asked, v)), 9)) for i, v in rows if i != query}
+        got = [(r[2], round(r[3], 9)) for r in found[0] if r[0] == query]
+        assert len(got) == 5 and set(got) <= scores and max(scores, key=lambda s: s[1]) in got
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in v * s]) for i, (v, s) in enumerate(zip(rng.standard_normal((300, 8)), rng.uniform(0.5, 2, 300)))]
