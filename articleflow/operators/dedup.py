@@ -175,13 +175,15 @@ def arrival_order(order: list[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def near_dup_filter(articles: DataFrame, order: list[str]) -> DataFrame:
+def near_dup_filter(articles: DataFrame, order: list[str], min_words: int = 0) -> DataFrame:
     """Articles that survive the near-duplicate filter, first arrival wins; collisions are not verified.
 
-    ``order`` must identify an article. The dropped ones, few as a rule, are anti-joined: while their list is small
+    Articles with fewer than ``min_words`` words are no one's duplicates and stay (those without shingles look alike
+    otherwise, and only the first one is kept). ``order`` must identify an article. The dropped ones, few as a rule, are anti-joined: while their list is small
     it is broadcast and the article texts are not shuffled at all.
     """
-    ids = cut(banded(articles, [arrival_order(order).alias("_order")]))
+    compared = articles.filter(F.size(X.words(article_text())) >= min_words) if min_words else articles
+    ids = cut(banded(compared, [arrival_order(order).alias("_order")]))
     dropped = cut(ids.select("_order").join(first_arrivals(ids, "_order"), "_order", "left_anti"))
     ordered = articles.withColumn("_order", arrival_order(order))
     return ordered.join(small_side(dropped), "_order", "left_anti").drop("_order")

@@ -86,3 +86,10 @@ def test_salted_join_keeps_every_row(spark, how):
     plain = many.join(one, "k", how)
     assert sorted(map(tuple, joined.select("id", "k", "v").collect()), key=repr) == \
         sorted(map(tuple, plain.select("id", "k", "v").collect()), key=repr)
+
+
+def test_short_articles_can_be_left_alone(spark):
+    rows = [(1, "a", "b"), (2, "c", ""), (3, None, None), (4, "one two", "three four"), (5, "one two", "three four")]
+    frame = spark.createDataFrame(rows, "n int, title string, content string")
+    assert sorted(r["n"] for r in dedup.near_dup_filter(frame, ["n"]).collect()) == [1, 4]
+    assert sorted(r["n"] for r in dedup.near_dup_filter(frame, ["n"], min_words=3).collect()) == [1, 2, 3, 4]
