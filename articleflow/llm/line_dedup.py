@@ -26,6 +26,8 @@ from articleflow.operators.joins import salted_join
 from articleflow.session import cut
 
 MIN_WORDS = 50
+# Keys that are sent to every task, by estimate; as a hash table they take several times as much.
+KEY_BYTES = 1 << 20
 
 
 def line_runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes, int]]:
@@ -57,7 +59,7 @@ def line_runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int,
 def _met(runs: DataFrame, one: DataFrame, key: str, row_bytes: int) -> DataFrame:
     """``runs`` with the row of ``one`` for their key: by broadcast while that is small, else with hot keys split."""
     one = cut(one)
-    if one.count() * row_bytes <= BROADCAST_BYTES:
+    if one.count() * row_bytes <= KEY_BYTES:
         return runs.join(F.broadcast(one), key)
     return salted_join(runs, one, [key], ["doc_id", "first"])
 
