@@ -179,8 +179,8 @@ def near_dup_filter(articles: DataFrame, order: list[str], min_words: int = 0) -
     """Articles that survive the near-duplicate filter, first arrival wins; collisions are not verified.
 
     Articles with fewer than ``min_words`` words are no one's duplicates and stay (those without shingles look alike
-    otherwise, and only the first one is kept). ``order`` must identify an article. The dropped ones, few as a rule, are anti-joined: while their list is small
-    it is broadcast and the article texts are not shuffled at all.
+    otherwise, and only the first one is kept). ``order`` must identify an article. The dropped ones, few as a rule, are
+    anti-joined: while their list is small it is broadcast and the article texts are not shuffled at all.
     """
     compared = articles.filter(F.size(X.words(article_text())) >= min_words) if min_words else articles
     ids = cut(banded(compared, [arrival_order(order).alias("_order")]))

@@ -242,8 +242,8 @@ def probed_topk(queries: DataFrame, index: VectorIndex, k: int = C.SEARCH_LIMIT,
                 exact: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest vectors by cosine: (query_id, id, score, rank), as ``vector_topk`` gives them.
 
-    A query probes ``probes`` cells (those of the index if not given), nearest first. Queries that found fewer than ``k`` go on with all
-    other cells; with ``exact=True`` every query goes on with those other cells that can still hold a better or equal
+    A query probes ``probes`` cells (those of the index if not given), nearest first. Queries that found fewer than ``k``
+    go on with all other cells; with ``exact=True`` every query goes on with those other cells that can still hold a better or equal
     hit. Queries without a comparable vector find nothing.
     """
     spark = queries.sparkSession
