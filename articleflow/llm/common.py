@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -65,10 +66,18 @@ def sent_to_tasks(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """A function that gives ``value`` to a task.
 
     The value is broadcast as bytes that carry its classes, as functions of this package do, so that workers need no
-    copy of the package to read it.
+    copy of the package to read it. A worker process reads it once, and keeps only the value it was asked for last.
     """
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(shared.value)
+    shared, name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def given() -> Any:
+        slot = kept_in_worker("sent", dict)
+        if name not in slot:
+            slot.clear()
+            slot[name] = pickle.loads(shared.value)
+        return slot[name]
+
+    return given
 
 
 def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:

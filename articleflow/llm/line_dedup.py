@@ -22,12 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import BROADCAST_BYTES, fresh, text_slices
-from articleflow.operators.joins import salted_join
 from articleflow.session import cut
 
 MIN_WORDS = 50
-# Keys that are sent to every task, by estimate; as a hash table they take several times as much.
-KEY_BYTES = 1 << 20
 
 
 def line_runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes, int]]:
@@ -56,14 +53,6 @@ def line_runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int,
         yield places[s], places[e], key, int.from_bytes(min(part)[:8], "little", signed=True)
 
 
-def _met(runs: DataFrame, one: DataFrame, key: str, row_bytes: int) -> DataFrame:
-    """``runs`` with the row of ``one`` for their key: by broadcast while that is small, else with hot keys split."""
-    one = cut(one)
-    if one.count() * row_bytes <= KEY_BYTES:
-        return runs.join(F.broadcast(one), key)
-    return salted_join(runs, one, [key], ["doc_id", "first"])
-
-
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, first, last): the repeated shortest runs, whose union is to be deleted."""
@@ -93,11 +82,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("doc_id", "text_hash", "first", "last")
     shared = runs.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     shared = shared.filter("low <> high").select("fingerprint")
-    near = _met(runs, shared, "fingerprint", 16).drop("fingerprint")
+    # Written first, the short side leaves a plain join, of which Spark sends a small one everywhere and splits hot keys.
+    near = runs.join(cut(shared), "fingerprint").drop("fingerprint")
     earliest = near.groupBy("run").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
     same_doc = F.col("doc_id").eqNullSafe(F.col("earliest.doc_id")) & (
         F.col("text_hash") == F.col("earliest.text_hash"))
-    return _met(near, earliest, "run", 96).filter(
+    return near.join(cut(earliest), "run").filter(
         F.when(same_doc, F.col("earliest.last") < F.col("first")).otherwise(True)
     ).select("doc_id", "text_hash", "first", "last")
 

@@ -17,7 +17,6 @@ PASSAGE = "\n".join(" ".join(f"p{i}{j}" for j in range(20)) for i in range(3))
 @pytest.mark.parametrize("max_bytes", [1 << 25, 0])
 def test_line_dedup_with_clashing_names(spark, monkeypatch, max_bytes):
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", max_bytes)
-    monkeypatch.setattr(line_dedup, "KEY_BYTES", max_bytes)
     clash = "_first int, _last int, _cut_id int, _cut_hash int, _kept_text int, n_removed_lines int, run int, fingerprint int"
     texts = ["a\n" + PASSAGE, PASSAGE + "\nb", "c d\n" + PASSAGE.replace(" ", " "), None, ""]
     rows = [(i, t, *[i] * 8) for i, t in enumerate(texts)]
