@@ -217,3 +217,16 @@ def test_mmr_equals_the_greedy_choice(spark):
     found = retrieval.mmr_topn(frame.repartition(3), 5)
     assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == want
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_are_cut_where_the_chunks_lie(spark, root):
+    # Dealt by a hash of the key, slices grew beyond their bound and every term of a chunk was shuffled and sorted.
+    rows = [(f"k{i % 230:03}", None if i % 50 == 0 else "" if i % 50 == 1 else f"the W{i % 7}, own{i} -") for i in range(250)]
+    chunks = spark.createDataFrame(rows, "chunk_key string, text string").repartition(3)
+    index = keyword.write_index(chunks, root, slice_chunks=20)
+    pages = index.keys.groupBy("slice").agg(F.sum(F.size("keys")).alias("n")).collect()
+    assert max(r["n"] for r in pages) <= 20 and sum(r["n"] for r in pages) == 250 and len(pages) == index.slices
+    assert index.terms.filter("term = 'the'").first()["df"] == sum(bool(t) for _, t in rows)
+    queries = spark.createDataFrame([(1, "w3 the"), (2, "own42 w0")], "query_id int, query string")
+    want = retrieval.keyword_topk(queries, chunks, 3).select("query_id", "rank", "score")
+    assert sorted(keyword.indexed_topk(queries, index, 3).select("query_id", "rank", "score").collect()) == sorted(want.collect())
