@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,23 @@ def test_wrong_dimensions_are_rejected(spark):
     assert sorted(r["id"] for r in rejected.collect()) == [2, 3]
     mocked = frame.select(embedding.embedding_or_mock(F.col("embedding"), 3).alias("e")).collect()
     assert [0.0, 0.0, 0.0] in [r["e"] for r in mocked]
+
+
+def test_long_batches_are_split_in_runs_of_texts(monkeypatch):
+    monkeypatch.setattr(chunking, "TEXT_BYTES", 1000)
+    batch = pa.array(["x" * 300, None, "", "y" * 5000, "z" * 10] * 40)
+    blocks = list(chunking._blocks(batch))
+    assert pa.concat_arrays(blocks).equals(batch)
+    assert all(len(b) == 1 or sum(len(t or "") for t in b.to_pylist()[1:]) <= 1000 for b in blocks)
+    assert len(list(chunking._blocks(pa.array([], pa.string())))) == 0
+
+
+def test_a_model_gets_bounded_lists_of_texts(spark):
+    def load():
+        def model(texts):
+            return np.full((len(texts), 1), float(len(texts)))
+        return model
+
+    frame = spark.range(2500).coalesce(1).select(F.col("id").cast("string").alias("text"))
+    sizes = [r[0] for r in embedding.embed_chunks(frame, load).select(F.get("embedding", 0)).collect()]
+    assert len(sizes) == 2500 and max(sizes) <= 1000
