@@ -441,3 +441,27 @@ def test_key_filters():
     known, foreign = draw.integers(-2**63, 2**63 - 1, 5000), draw.integers(-2**63, 2**63 - 1, 200_000)
     raw = keyfilter._filter(known)
     assert keyfilter._passes(raw, known).all() and keyfilter._passes(raw, foreign).sum() <= 5
+
+
+def test_rows_whose_key_comes_once_are_not_ranked(spark, root, monkeypatch):
+    # Ranking shuffled and sorted whole rows, embeddings included, though hardly any key comes twice.
+    def refuse(*_):
+        raise AssertionError("ranked")
+
+    monkeypatch.setattr(tables, "first_per_key", refuse)
+    path, schema = os.path.join(root, "t"), "chunk_key string, text string, day string"
+    order = [F.col("text").asc()]
+    tables.upsert_into(spark.createDataFrame([("a", "1", "d1"), ("b", "1", "d2"), (None, "1", "d1")], schema), path, "chunk_key", order)
+    # One row moves back to its first day, one stays, one is new.
+    tables.upsert_into(spark.createDataFrame([("a", "2", "d2"), ("b", "2", "d2"), ("c", "2", "d3")], schema), path, "chunk_key", order)
+    stored = {(r["chunk_key"], r["text"], r["day"]) for r in spark.read.parquet(path).collect()}
+    assert stored == {("a", "2", "d1"), ("b", "2", "d2"), ("c", "2", "d3"), (None, "1", "d1")}
+    at = os.path.join(root, "absent")
+    for batch_id, rows in enumerate(([("a", "1"), ("b", "1")], [("b", "2"), ("c", "2")])):
+        tables.append_absent(spark.createDataFrame(rows, "url string, title string"), at, "url", ["title"], batch_id)
+    assert {(r["url"], r["title"]) for r in spark.read.parquet(at).collect()} == {("a", "1"), ("b", "1"), ("c", "2")}
+    monkeypatch.undo()
+    twice = spark.createDataFrame([("x", "9", "d1"), ("x", "8", "d4"), (None, "7", "d1"), (None, "6", "d1")], schema)
+    tables.upsert_into(twice, os.path.join(root, "u"), "chunk_key", order)
+    stored = {(r["chunk_key"], r["text"], r["day"]) for r in spark.read.parquet(os.path.join(root, "u")).collect()}
+    assert stored == {("x", "8", "d4"), (None, "6", "d1")}
