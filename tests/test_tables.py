@@ -465,3 +465,13 @@ def test_rows_whose_key_comes_once_are_not_ranked(spark, root, monkeypatch):
     tables.upsert_into(twice, os.path.join(root, "u"), "chunk_key", order)
     stored = {(r["chunk_key"], r["text"], r["day"]) for r in spark.read.parquet(os.path.join(root, "u")).collect()}
     assert stored == {("x", "8", "d4"), (None, "6", "d1")}
+
+
+def test_a_message_is_parsed_once_for_its_verdict(spark):
+    texts = ['{"article_id": "1", "url": "u"}', '{"article_id": "2"}', '{"article_id"', " ", None]
+    messages = spark.createDataFrame([(t,) for t in texts], "value string").filter("value is null or value <> 'x'")
+    good, bad = normalize.quarantine_bad_records(messages)
+    both = good.select("article_id").unionByName(bad.select("reason"), allowMissingColumns=True)
+    found = sorted((r["article_id"] or "", r["reason"] or "") for r in both.collect())
+    assert found == [("", "empty"), ("", "empty"), ("", "malformed"), ("", "no url"), ("1", "")]
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2
