@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -39,6 +39,8 @@ CONTEXT_WORDS = 4096
 HEAD_WORDS = 200_000
 DIMENSIONS, ORDER = 16, 3
 NOISE, BATCH, RATE = 32, 4096, 0.1
+# Tokens whose class scores are computed at once.
+SCORED = 512
 # Distinct words that a task counts before it hands them on; parameter sets that are averaged at once.
 COUNTED_WORDS, AVERAGED = 500_000, 64
 END = b""
@@ -53,6 +55,11 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
+def endings(found: Collection[bytes]) -> np.ndarray:
+    """``ending`` of many words."""
+    return np.fromiter(map(zlib.crc32, [word[-2:] for word in found]), np.int64, len(found)) % ENDINGS
+
+
 def _ending_column(word: str) -> Column:
     """``ending`` as a column expression; the end token has an empty ending."""
     return F.crc32(F.when(F.length(word) <= 2, F.col(word)).otherwise(F.substring(F.col(word), -2, 2))) % ENDINGS
@@ -71,7 +78,7 @@ class Vocabulary:
 
     def codes(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the list or -1, class, context code) of tokens."""
-        place = np.array(list(map(self.index.get, found, repeat(-1))), dtype=np.int64)
+        place = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
         group = place >= SINGLE
         foreign = np.flatnonzero(place < 0)
         cls, context = place.copy(), place.copy()
@@ -79,13 +86,13 @@ class Vocabulary:
         cls[group] = SINGLE + ends[group]
         far = place >= CONTEXT_WORDS
         context[far] = CONTEXT_WORDS + ends[far]
-        other = np.fromiter((ending(found[i]) for i in foreign), np.int64, len(foreign))
+        other = endings([found[i] for i in foreign.tolist()])
         cls[foreign] = SINGLE + other
         context[foreign] = CONTEXT_WORDS + other
         return place, cls, context
 
     def prepare(self) -> Vocabulary:
-        self._ends = np.array([ending(w) for w in self.index] or [0], dtype=np.int64)
+        self._ends = endings(self.index) if self.index else np.zeros(1, np.int64)
         return self
 
 
@@ -119,33 +126,55 @@ class Model:
             at += part.size
         return Model(*parts)
 
-    def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        return (self.context[contexts] * self.distance).sum(axis=1)
-
     def log_probability(self, contexts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of classes after contexts, in steps of bounded size."""
+        """Normalised log10 probabilities of classes after contexts, in steps whose numbers stay in the processor cache."""
         out = np.empty(len(classes), dtype=np.float64)
-        for at in range(0, len(classes), 8192):
-            scores = self.hidden(contexts[at:at + 8192]) @ self.output.T + self.bias
-            own = scores[np.arange(len(scores)), classes[at:at + 8192]]
-            total = np.exp(scores).sum(axis=1)
+        # The bias is the weight of a last input that is always 1.
+        weights, one = np.concatenate([self.output.T, self.bias[None, :]]), np.ones(CLASSES, np.float32)
+        every, inputs = np.empty((SCORED, CLASSES), np.float32), np.ones((SCORED, DIMENSIONS + 1), np.float32)
+        for at in range(0, len(classes), SCORED):
+            own_class = classes[at:at + SCORED]
+            n = len(own_class)
+            hidden, scores = inputs[:n], every[:n]
+            hidden[:, :DIMENSIONS] = _weighted(
+                [self.context.take(contexts[at:at + SCORED, k], axis=0) for k in range(ORDER)], self.distance)
+            np.matmul(hidden, weights, out=scores)
+            own = scores[np.arange(n), own_class]
+            total = np.exp(scores, out=scores) @ one
             if not (np.isfinite(total).all() and total.min() > 1e-30):
                 # Scores far from zero: shift them.
+                np.matmul(hidden, weights, out=scores)
                 shift = scores.max(axis=1)
                 own, total = own - shift, np.exp(scores - shift[:, None]).sum(axis=1)
-            out[at:at + 8192] = (own - np.log(total)) / np.log(10)
+            out[at:at + n] = (own - np.log(total)) / np.log(10)
         return out
 
 
-def _add_rows(target: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """One adaptive gradient step on the given rows, repeated rows summed."""
+def _weighted(vectors: list[np.ndarray], distance: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """The sum of context vectors, each weighted by its distance."""
+    out = np.multiply(vectors[0], distance[0], out=out)
+    for k in range(1, ORDER):
+        out += vectors[k] * distance[k]
+    return out
+
+
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that brings equal row numbers together, where each begins, the distinct ones)."""
+    # Row numbers fit into 16 bits, which are sorted by radix.
+    rows = rows.astype(np.int16)
     order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    rows = rows.take(order)
     firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    summed = np.add.reduceat(gradient[order], firsts, axis=0)
-    rows = rows[firsts]
-    squares[rows] += summed * summed
-    target[rows] += RATE * summed / np.sqrt(squares[rows])
+    return order, firsts, rows.take(firsts)
+
+
+def _add_rows(target: np.ndarray, squares: np.ndarray, groups: tuple, gradient: np.ndarray) -> None:
+    """One adaptive gradient step on the given rows (``_grouped``), repeated rows summed."""
+    order, firsts, rows = groups
+    summed = np.add.reduceat(gradient.take(order, axis=0), firsts, axis=0)
+    grown = squares.take(rows, axis=0) + summed * summed
+    squares[rows] = grown
+    target[rows] += RATE * summed / np.sqrt(grown)
 
 
 class Trainer:
@@ -159,27 +188,45 @@ class Trainer:
         self.squares = [np.full(part.shape, 1e-2, np.float32) for part in (
             model.context, model.distance, model.output, model.bias)]
         self.tokens = 0
+        self.space = np.empty((ORDER + 3, BATCH, DIMENSIONS), np.float32)
+        self.pulled = np.empty((BATCH, NOISE), np.float32)
+        self.gradient = np.empty((BATCH + NOISE, DIMENSIONS), np.float32)
 
     def step(self, contexts: np.ndarray, classes: np.ndarray) -> None:
         model, n = self.model, len(classes)
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE) * self.edges[-1]), CLASSES - 1)
-        vectors = model.context[contexts]
-        hidden = (vectors * model.distance).sum(axis=1)
-        own = (hidden * model.output[classes]).sum(axis=1) + model.bias[classes] - self.log_noise[classes]
-        other = hidden @ model.output[noise].T + model.bias[noise] - self.log_noise[noise]
+        # Numbers of a step are written where those of the last one were.
+        *vectors, hidden, targets, product = self.space[:, :n]
+        for k in range(ORDER):
+            model.context.take(contexts[:, k], axis=0, out=vectors[k], mode="clip")
+        model.output.take(classes, axis=0, out=targets, mode="clip")
+        drawn, pull, gradient = model.output[noise], self.pulled[:n], self.gradient[:n + NOISE]
+        _weighted(vectors, model.distance, hidden)
+        own = np.multiply(hidden, targets, out=product).sum(axis=1) + model.bias[classes] - self.log_noise[classes]
+        np.matmul(hidden, drawn.T, out=pull)
+        pull += model.bias[noise]
+        pull -= self.log_noise[noise]
         # Gradients of the log likelihood of "real" and "noise", per token.
         push = (1 / (1 + np.exp(np.clip(own, -30, 30)))) / n
-        pull = -(1 / (1 + np.exp(np.clip(-other, -30, 30)))) / n
-        to_hidden = push[:, None] * model.output[classes] + pull @ model.output[noise]
+        np.clip(np.negative(pull, out=pull), -30, 30, out=pull)
+        np.exp(pull, out=pull)
+        pull += 1
+        np.divide(-1, pull, out=pull)
+        pull /= n
         scale = np.float32(n) / 64
-        _add_rows(model.output, self.squares[2], np.concatenate([classes, noise]),
-                  scale * np.concatenate([push[:, None] * hidden, pull.T @ hidden]))
-        bias, squares = model.bias[:, None], self.squares[3][:, None]
-        _add_rows(bias, squares, np.concatenate([classes, noise]),
-                  scale * np.concatenate([push, pull.sum(axis=0)])[:, None])
-        step = (vectors * to_hidden[:, None, :]).sum(axis=0) * scale
+        np.multiply(push[:, None], hidden, out=gradient[:n])
+        gradient[n:] = pull.T @ hidden
+        gradient *= scale
+        to_hidden = np.multiply(push[:, None], targets, out=targets)
+        to_hidden += np.matmul(pull, drawn, out=product)
+        groups = _grouped(np.concatenate([classes, noise]))
+        _add_rows(model.output, self.squares[2], groups, gradient)
+        _add_rows(model.bias, self.squares[3], groups, scale * np.concatenate([push, pull.sum(axis=0)]))
+        step = np.stack([np.multiply(v, to_hidden, out=product).sum(axis=0) for v in vectors]) * scale
+        to_hidden *= scale
         for k in range(ORDER):
-            _add_rows(model.context, self.squares[0], contexts[:, k], scale * to_hidden * model.distance[k])
+            _add_rows(model.context, self.squares[0], _grouped(contexts[:, k]),
+                      np.multiply(to_hidden, model.distance[k], out=product))
         self.squares[1] += step * step
         model.distance += 0.1 * RATE * step / np.sqrt(self.squares[1])
         self.tokens += n
@@ -191,12 +238,12 @@ def _stream(texts: list[str], vocabulary: Vocabulary):
     counts = np.array([len(found) for found in listed], dtype=np.int64)
     flat = list(chain.from_iterable(listed))
     place, cls, code = vocabulary.codes(flat)
-    starts = np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.arange(len(flat))
-    contexts = np.empty((len(flat), ORDER), dtype=np.int64)
+    starts = np.cumsum(counts) - counts
+    contexts = np.full((len(flat), ORDER), START_CODE, dtype=np.int64)
     for k in range(1, ORDER + 1):
-        before = at - k
-        contexts[:, k - 1] = np.where(before >= starts, code[np.maximum(before, 0)], START_CODE)
+        contexts[k:, k - 1] = code[:-k]
+        for place_in_text in range(k):
+            contexts[starts[counts > place_in_text] + place_in_text, k - 1] = START_CODE
     return flat, place, cls, contexts, counts
 
 
@@ -315,7 +362,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 # Parts that need no further counts: class probability, class norms, and counts of listed words.
                 single = cls < SINGLE
                 rest = model.log_probability(contexts, cls) - known.class_norm[cls] + np.where(single, 0.0, count)
-                rare: Counter = Counter((int(owner[i]), flat[i]) for i in np.flatnonzero(~listed))
+                foreign = np.flatnonzero(~listed)
+                rare: Counter = Counter(zip(owner[foreign].tolist(), [flat[i] for i in foreign.tolist()]))
                 rows = pa.array(np.concatenate([np.arange(len(part)), [r for r, _ in rare]]).astype(np.int64) + start)
                 extra = len(rare)
                 whole = lambda values, kind: pa.array([*values, *[None] * extra], kind)

@@ -192,3 +192,30 @@ def test_pipeline_stages_on_planted_cases(spark, planted):
     assert not through & of("copy", "copied line", "contaminated", "only passage") and len(of("toxic") & through) <= 0.1 * len(of("toxic"))
     assert len(of("clean", "first passage", "original", "passage", "empty") & through) >= 0.95 * len(
         of("clean", "first passage", "original", "passage", "empty"))
+
+
+def test_lm_numbers_in_steps(monkeypatch):
+    """Class probabilities and a training step, computed in reused space, against plain formulas."""
+    rng = np.random.default_rng(1)
+    share = rng.random(lm.CLASSES)
+    share /= share.sum()
+    model = lm.Model.start(share)
+    contexts, classes = rng.integers(0, lm.START_CODE + 1, (700, lm.ORDER)), rng.integers(0, lm.CLASSES, 700)
+    assert lm.endings([b"", b"a", b"abc"]).tolist() == [lm.ending(w) for w in (b"", b"a", b"abc")]
+    for factor in (1, 400):
+        big = lm.Model(model.context, model.distance, model.output * factor, model.bias)
+        monkeypatch.setattr(lm, "SCORED", 256)
+        got = big.log_probability(contexts, classes)
+        hidden = (big.context[contexts].astype(np.float64) * big.distance).sum(axis=1)
+        scores = hidden @ big.output.T.astype(np.float64) + big.bias
+        scores -= scores.max(axis=1, keepdims=True)
+        plain = scores[np.arange(700), classes] - np.log(np.exp(scores).sum(axis=1))
+        assert np.allclose(got, plain / np.log(10), rtol=1e-4, atol=1e-3 * factor)
+    # A short step after a long one must not see what the long one left behind.
+    used, fresh = (lm.Trainer(lm.Model.start(share), share) for _ in range(2))
+    used.step(contexts, classes)
+    fresh.model, fresh.squares = lm.Model.start(share).filled(used.model.flat()), [s.copy() for s in used.squares]
+    fresh.rng.bit_generator.state = used.rng.bit_generator.state
+    used.step(contexts[:50], classes[:50])
+    fresh.step(contexts[:50], classes[:50])
+    assert np.array_equal(used.model.flat(), fresh.model.flat())
