@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import Any
 
 import pyarrow as pa
@@ -80,6 +82,21 @@ def sent_to_tasks(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return given
 
 
+def gives_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The task function, which at its end hands the memory it freed back to the system: workers outlive their tasks."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        # Of the C libraries only GNU's keeps it, and has this function.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
     """What ``make`` gave when this worker process first asked for ``name``: costly tools outlive a task."""
     home = sys.modules.setdefault("articleflow_worker", types.ModuleType("articleflow_worker"))

@@ -85,6 +85,6 @@ class Encoder:
         ]
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, memory_words: int = MEMORY_WORDS) -> Encoder:
     """The worker process's encoder for a vocabulary file."""
-    return kept_in_worker(f"encoder:{path}", lambda: Encoder(path))
+    return kept_in_worker(f"encoder:{path}:{memory_words}", lambda: Encoder(path, memory_words))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import BROADCAST_BYTES, fresh, text_slices
+from articleflow.llm.common import BROADCAST_BYTES, fresh, gives_back, text_slices
 from articleflow.session import cut
 
 MIN_WORDS = 50
@@ -57,6 +57,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, first, last): the repeated shortest runs, whose union is to be deleted."""
 
+    @gives_back
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch.column(2)):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import BROADCAST_BYTES, bounded_side, fresh, text_slices
+from articleflow.llm.common import BROADCAST_BYTES, bounded_side, fresh, gives_back, text_slices
 from articleflow.llm.components import components
 from articleflow.operators.joins import first_per_key, salted_join
 from articleflow.session import cut
@@ -95,6 +95,7 @@ def sketches(sets: list[np.ndarray], t: int = SKETCH) -> np.ndarray:
 def _signed(docs: DataFrame, size: int, id_type: str) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch); the key is a 128-bit hash of the set, null for an empty one."""
 
+    @gives_back
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch.column(1)):
@@ -113,6 +114,7 @@ def _signed(docs: DataFrame, size: int, id_type: str) -> DataFrame:
 def _full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """(cls, shingles) of the needed classes (cls, rep, set_key), made anew from their first documents' texts."""
 
+    @gives_back
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import text_slices
-from articleflow.llm.encoder import vocabulary_path, worker_encoder
+from articleflow.llm.encoder import MEMORY_WORDS, vocabulary_path, worker_encoder
 
 CONTEXT = 1024
 TIERS = (128, 256, 512, 1024)
@@ -89,7 +89,7 @@ def step_groups(windows: list[tuple[int, Window]], group_tokens: int = GROUP_TOK
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
            end_id: int = END_ID, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS,
-           group_tokens: int = GROUP_TOKENS) -> DataFrame:
+           group_tokens: int = GROUP_TOKENS, memory_words: int = MEMORY_WORDS) -> DataFrame:
     """One row per piece: (doc_id, start, length, doc_tokens, sequence_id, offset, tier, step_group, ids).
 
     ``ids`` are the piece's token ids as little-endian unsigned 32-bit bytes. ``start`` counts the document's ids
@@ -98,13 +98,14 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     Null or empty text: a document of only the end id. Repeated rows, null or repeated ids: each row is packed on its
     own. Other columns of ``docs`` are ignored. No rows: no pieces. Ties in length are packed in the order of the rows.
+    ``memory_words`` bounds the words whose ids a worker remembers; it changes no result.
     """
     where = path or vocabulary_path()
     context = tiers[-1]
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(where)
+        encoder = worker_encoder(where, memory_words)
         end = np.array([end_id], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         keys: list = []

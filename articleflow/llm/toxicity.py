@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import id_bucket, sent_to_tasks, text_slices
+from articleflow.llm.common import gives_back, id_bucket, sent_to_tasks, text_slices
 from articleflow.session import cut
 
 # Texts of each label that training uses at most, chosen by a hash of their ids.
@@ -394,6 +394,7 @@ def score_texts(docs: DataFrame, network: Network, id_col: str = "doc_id", text_
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = sent_to_tasks(docs.sparkSession, network)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared())
         for batch in batches:

@@ -14,6 +14,10 @@ from articleflow.llm.common import fresh
 from articleflow.session import cut
 
 
+# Words whose ids a worker remembers while it packs: the executors' memory has grown over the stages before.
+PACKING_WORDS = 150_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not predict as toxic."""
     network = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -47,7 +51,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 1024 tokens, one row per piece."""
-    return packing.piece_digest(packing.packed(docs))
+    return packing.piece_digest(packing.packed(docs, memory_words=PACKING_WORDS))
 
 
 STAGES = [

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from articleflow.llm import ann, chat, decontam, licenses, line_dedup, lm, near_dup, packing, token_index, toxicity
 from articleflow.llm.components import components
-from articleflow.llm.encoder import Encoder, vocabulary_path
+from articleflow.llm.encoder import Encoder, vocabulary_path, worker_encoder
 from articleflow.session import scratch
 
 LONG = " ".join(f"w{i}" for i in range(3000))
@@ -255,3 +255,15 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and os.path.isdir("/root/testdata/sf0.001")
+
+
+def test_a_worker_remembers_few_words_and_gives_memory_back():
+    from articleflow.llm.common import gives_back
+
+    text = " ".join(f"word{i}" for i in range(300))
+    small, usual = worker_encoder(vocabulary_path(), 20), worker_encoder(vocabulary_path())
+    assert small is worker_encoder(vocabulary_path(), 20) and small is not usual
+    assert [small.encode([text, "a b"]) for _ in range(3)] == [usual.encode([text, "a b"])] * 3
+    small.encode(["a b"])
+    assert len(small._inner) < 20 < len(usual._inner)
+    assert list(gives_back(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2]
