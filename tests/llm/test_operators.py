@@ -46,6 +46,23 @@ def test_encoder_equals_plain_encoding():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t, 0)[:-1] for t in texts]
 
 
+def test_encoder_cuts_punctuation_off_words():
+    texts = ["a,b.c d,.e f's g're, h_i, 's. é, ü! 日本, x²,y a1,b", ", a", "A,\nB. C", "a, \x1f,", "it's 1,2\x1f,"]
+    encoder = Encoder(vocabulary_path())
+    assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)] == [ids_of(t, 0)[:-1] for t in texts]
+    known = len(encoder._inner)
+    encoder.encode(["x word, word. word! word"])
+    assert len(encoder._inner) <= known + 3  # the word, and marks not met before
+    assert encoder.encode([]) == []
+
+
+def test_full_encoder_keeps_words_that_come_often():
+    encoder = Encoder(vocabulary_path(), 40)
+    texts = [" ".join(f"often rare{chr(97 + i)}" for i in range(26)), " ".join(f"often odd{chr(97 + i)}" for i in range(26))]
+    assert [np.frombuffer(g, "<u4").tolist() for t in texts for g in encoder.encode([t])] == [ids_of(t, 0)[:-1] for t in texts]
+    assert "often" in encoder._inner and len(encoder._inner) < 40
+
+
 def test_token_index(spark, docs, none):
     store = token_index.write_store(docs, scratch(spark, "tokens"))
     places = token_index.locate(store, docs).unionByName(token_index.keyless(store))
