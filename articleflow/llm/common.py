@@ -82,11 +82,18 @@ def sent_to_tasks(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return given
 
 
-def gives_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """The task function, which at its end hands the memory it freed back to the system: workers outlive their tasks."""
+def gives_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: tuple[str, ...] = ("sent",)):
+    """The task function, which gives memory back to the system: workers outlive their tasks, and serve other operators.
+
+    It begins by dropping what the worker keeps of other operators, all but names that begin with one of ``keeps``, and
+    at its end hands back what it freed.
+    """
 
     @wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = vars(_worker_home())
+        for name in [n for n in home if not n.startswith(("__", *keeps))]:
+            del home[name]
         yield from task(batches)
         pa.default_memory_pool().release_unused()
         # Of the C libraries only GNU's keeps it, and has this function.
@@ -97,9 +104,13 @@ def gives_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
+def _worker_home() -> types.ModuleType:
+    return sys.modules.setdefault("articleflow_worker", types.ModuleType("articleflow_worker"))
+
+
 def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
     """What ``make`` gave when this worker process first asked for ``name``: costly tools outlive a task."""
-    home = sys.modules.setdefault("articleflow_worker", types.ModuleType("articleflow_worker"))
+    home = _worker_home()
     if not hasattr(home, name):
         setattr(home, name, make())
     return getattr(home, name)

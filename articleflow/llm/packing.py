@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import text_slices
+from articleflow.llm.common import gives_back, text_slices
 from articleflow.llm.encoder import MEMORY_WORDS, vocabulary_path, worker_encoder
 
 CONTEXT = 1024
@@ -157,7 +157,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             yield flush(True)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run,
+        gives_back(run, keeps=("encoder:",)),
         f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, "
         "step_group long, ids binary",
     )

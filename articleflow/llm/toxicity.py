@@ -35,6 +35,8 @@ WIDTH, STATE, ATTENTION = 8, 8, 8
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 # Words whose input a task remembers; it starts anew when it is full.
 MEMORY_WORDS = 200_000
+# New words whose inputs are made together.
+STEP_WORDS = 4096
 # Windows that run through the network together.
 STEP_WINDOWS = 2048
 _WORD = re.compile(r"[^\W\d_]+")
@@ -341,17 +343,18 @@ class Scorer:
 
     def _ids(self, found: list[str]) -> np.ndarray:
         new = [w for w in set(found) if w not in self.index]
-        if new:
-            rows, grams = zip(*[features(w) for w in new])
-            size = len(self.index) + 1
-            if size + len(new) > len(self.gates):
-                grown = np.zeros((max(2 * len(self.gates), size + len(new)), 2, 3 * STATE), np.float32)
-                grown[:size] = self.gates[:size]
-                self.gates = grown
-            self.gates[size:size + len(new)] = self.network.projected(
+        size = len(self.index) + 1
+        if size + len(new) > len(self.gates):
+            grown = np.zeros((max(len(self.gates) * 5 // 4, size + len(new)), 2, 3 * STATE), np.float32)
+            grown[:size] = self.gates[:size]
+            self.gates = grown
+        for at in range(0, len(new), STEP_WORDS):
+            part = new[at:at + STEP_WORDS]
+            rows, grams = zip(*map(features, part))
+            self.gates[size + at:size + at + len(part)] = self.network.projected(
                 self.network.word_inputs(np.array(rows, dtype=np.int64), np.array([i for g in grams for i in g], dtype=np.int64),
                                          np.array([len(g) for g in grams], dtype=np.int64)))
-            self.index.update(zip(new, range(size, size + len(new))))
+        self.index.update(zip(new, range(size, size + len(new))))
         index = self.index
         return np.fromiter((index[w] for w in found), np.int64, len(found))
 

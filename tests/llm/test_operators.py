@@ -284,3 +284,22 @@ def test_a_worker_remembers_few_words_and_gives_memory_back():
     small.encode(["a b"])
     assert len(small._inner) < 20 < len(usual._inner)
     assert list(gives_back(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2]
+
+
+def test_task_drops_tools_of_other_operators():
+    from articleflow.llm.common import _worker_home, gives_back, kept_in_worker
+
+    kept_in_worker("encoder:x", dict), kept_in_worker("other:x", dict), kept_in_worker("sent", dict)
+    held = lambda: {n for n in vars(_worker_home()) if n in ("encoder:x", "other:x", "sent")}
+    list(gives_back(lambda batches: batches, keeps=("encoder:",))(iter([1])))
+    assert held() == {"encoder:x"}
+    kept_in_worker("sent", dict)
+    list(gives_back(lambda batches: batches)(iter([1])))
+    assert held() == {"sent"}
+
+
+def test_toxicity_inputs_of_many_new_words(monkeypatch):
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(k, k + 90)) for k in range(0, 400, 40)]
+    at_once = toxicity.Scorer(toxicity.Network()).score(texts)
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 7)
+    assert np.allclose(toxicity.Scorer(toxicity.Network()).score(texts), at_once, atol=1e-6)
