@@ -68,7 +68,7 @@ def answer_rows(contexts: DataFrame, load: Callable[[], Callable[[list[str]], li
                 yield pd.Series(model(prompts.tolist()))
 
         answer = once(generate)(F.col("prompt"))
-    blank = X.strip(F.coalesce("context", F.lit(""))) == ""
+    blank = X.blank(F.col("context"))
     rows = contexts if load is None else prompt_rows(contexts)
     return rows.select(
         "query_id", "query", "context",
@@ -91,7 +91,7 @@ def smalltalk_rows(queries: DataFrame, assistant: str = "your technology assista
 
 def cache_put(responses: DataFrame, as_of: Column, ttl_seconds: int = C.CACHE_TTL_SECONDS) -> DataFrame:
     """Cache rows (cache_key, response, expires_at) of the responses with a non-blank context, one per query."""
-    rows = responses.filter(X.strip(F.coalesce("context", F.lit(""))) != "").select(
+    rows = responses.filter(~X.blank(F.col("context"))).select(
         X.cache_key(F.col("query")).alias("cache_key"),
         F.to_json(F.struct(*RESPONSE_FIELDS)).alias("response"),
         (as_of + F.expr(f"INTERVAL {ttl_seconds} SECONDS")).alias("expires_at"),

@@ -45,7 +45,7 @@ def decode_logs(lines: DataFrame) -> DataFrame:
 def broken_lines(lines: DataFrame) -> DataFrame:
     """Lines (``value``) that are neither blank nor a JSON object."""
     return _judged(lines).filter("fields is null").select("value").filter(
-        X.strip(F.coalesce("value", F.lit(""))) != "")
+        ~X.blank(F.col("value")))
 
 
 def daily_log_index(logs: DataFrame, arrived_at: Column, parsed_type: str = "map<string,string>") -> DataFrame:

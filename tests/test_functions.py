@@ -4,6 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from articleflow import constants as C
 from articleflow.functions import fuzzy
 from articleflow.functions import text as X
 from articleflow.operators import routing
@@ -134,3 +135,27 @@ def test_meaningful_results(spark):
     rows = {r["query_id"]: (r["n_hits"], r["meaningful"], r["insufficient"])
             for r in routing.meaningful_results(asked, hits).collect()}
     assert rows == {0: (2, True, False), 1: (1, True, True), 2: (2, False, True), 3: (0, False, True)}
+
+
+def test_white_space_helpers_agree_with_their_plain_forms(spark):
+    import random
+
+    draw = random.Random(2)
+    signs = [chr(x) for x in [*range(0, 0x21), 0x7F, *range(0x80, 0xA2), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028,
+                              0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0x1F600]] + list("abé日") * 12
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 9))) for _ in range(2000)] + ["", " \n" * 500 + "x"]
+    rows = spark.createDataFrame([(None,), *[(t,) for t in texts]], "t string")
+    ends = F.regexp_replace("t", f"^{C.WHITESPACE}+|{C.WHITESPACE}+$", "")
+    cut = F.array_remove(F.split("t", C.WHITESPACE + "+"), "")
+    assert rows.filter(~(X.strip(F.col("t")).eqNullSafe(ends) & X.words(F.col("t")).eqNullSafe(cut))).count() == 0
+    assert rows.filter(X.blank(F.col("t")) != (F.coalesce(ends, F.lit("")) == "")).count() == 0
+
+
+def test_strip_does_not_search_inner_white_space(spark):
+    """Runs of white space inside a text are passed once; a search from each of them is quadratic."""
+    import time
+
+    text = "a" + " " * 100_000 + "b"
+    begun = time.perf_counter()
+    row = spark.createDataFrame([(text,)], "t string").select(X.strip(F.col("t")).alias("s"), X.blank(F.col("t"))).first()
+    assert row[0] == text and not row[1] and time.perf_counter() - begun < 10
