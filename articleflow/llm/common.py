@@ -86,7 +86,7 @@ def gives_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """The task function, which gives memory back to the system: workers outlive their tasks, and serve other operators.
 
     It begins by dropping what the worker keeps of other operators, all but names that begin with one of ``keeps``, and
-    at its end hands back what it freed.
+    hands back what is free before its first batch and at its end.
     """
 
     @wraps(task)
@@ -94,16 +94,22 @@ def gives_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         home = vars(_worker_home())
         for name in [n for n in home if not n.startswith(("__", *keeps))]:
             del home[name]
+        # Tasks without this function may have left free memory, too.
+        _hand_back()
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        # Of the C libraries only GNU's keeps it, and has this function.
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        _hand_back()
 
     return run
 
 
+def _hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    # Of the C libraries only GNU's keeps it, and has this function.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _worker_home() -> types.ModuleType:
     return sys.modules.setdefault("articleflow_worker", types.ModuleType("articleflow_worker"))
 

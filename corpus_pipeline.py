@@ -1,6 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again for the next one.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of their input.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of their input. The
+stages share executors, whose memory grows with each: texts go to Python workers in small batches.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from articleflow.functions.text import strip
 from articleflow.llm import decontam, line_dedup, near_dup, packing, toxicity
 from articleflow.llm.common import fresh
-from articleflow.session import cut
+from articleflow.session import cut, text_batches
 
 
 # Words whose ids a worker remembers while it packs: the executors' memory has grown over the stages before.
@@ -21,7 +22,8 @@ PACKING_WORDS = 150_000
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not predict as toxic."""
     network = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.drop_toxic(docs, network)
+    with text_batches(spark):
+        return toxicity.drop_toxic(docs, network)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ``n_chars``, where there is one, follows the text.
     """
     (mark,) = fresh(docs, "n_removed_lines")
-    done = line_dedup.dedup_lines(docs)
+    with text_batches(spark):
+        done = line_dedup.dedup_lines(docs)
     touched = F.col(mark) > 0
     done = done.filter(~touched | (strip(F.col("text")) != ""))
     if "n_chars" in docs.columns:
@@ -41,7 +44,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
-    return near_dup.drop_near_dups(docs, size=5, percent=80)
+    with text_batches(spark):
+        return near_dup.drop_near_dups(docs, size=5, percent=80)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,8 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 1024 tokens, one row per piece."""
-    return packing.piece_digest(packing.packed(docs, memory_words=PACKING_WORDS))
+    with text_batches(spark):
+        return cut(packing.piece_digest(packing.packed(docs, memory_words=PACKING_WORDS)))
 
 
 STAGES = [

@@ -219,3 +219,33 @@ def test_lm_numbers_in_steps(monkeypatch):
     used.step(contexts[:50], classes[:50])
     fresh.step(contexts[:50], classes[:50])
     assert np.array_equal(used.model.flat(), fresh.model.flat())
+
+
+def test_pipeline_sends_texts_in_small_batches(spark, monkeypatch):
+    """The stages' tasks meet batches of bounded size, and the session keeps its own bound."""
+    from articleflow.llm import packing, toxicity
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    seen = spark.sparkContext.accumulator(0)
+    bound = 3 << 20
+
+    def watched(task, keeps=("sent",)):
+        def run(batches):
+            def passed():
+                for batch in batches:
+                    seen.add(int(batch.nbytes > bound))
+                    yield batch
+            return task(passed())
+        return run
+
+    text = " ".join(f"w{i % 7}" for i in range(9_000))
+    docs = spark.createDataFrame([(i, text) for i in range(200)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(packing, "gives_back", watched)
+    monkeypatch.setattr(toxicity, "gives_back", watched)
+    monkeypatch.setattr(toxicity, "train", lambda *a: toxicity.Network())
+    pieces = corpus_pipeline.pack(spark, docs, "/root/testdata/sf0.001")
+    assert pieces.select("doc_id").distinct().count() == 200
+    corpus_pipeline.reject_toxic(spark, docs, "/root/testdata/sf0.001").count()
+    assert seen.value == 0
+    assert spark.conf.get(name) == before
