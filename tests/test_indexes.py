@@ -230,3 +230,33 @@ def test_slices_are_cut_where_the_chunks_lie(spark, root):
     queries = spark.createDataFrame([(1, "w3 the"), (2, "own42 w0")], "query_id int, query string")
     want = retrieval.keyword_topk(queries, chunks, 3).select("query_id", "rank", "score")
     assert sorted(keyword.indexed_topk(queries, index, 3).select("query_id", "rank", "score").collect()) == sorted(want.collect())
+
+
+def test_document_frequencies_are_counted_without_the_lists(spark, tmp_path, monkeypatch):
+    """Blocks carry how many postings they hold, so that the terms' table does not read the chunk numbers."""
+    rows = [(f"k{i:04}", " ".join(["all"] + ["few"] * (i % 3 == 0) + [f"w{i}"])) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "chunk_key string, text string").repartition(3)
+    index = keyword.write_index(chunks, str(tmp_path / "i"), slice_chunks=150)
+    stored = spark.read.parquet(str(tmp_path / "i" / "postings")).filter("part >= 0")
+    assert stored.filter("n <> size(ords) or n is null").count() == 0
+    assert {r["term"]: r["df"] for r in index.terms.filter("term in ('all', 'few', 'w7')").collect()} == {
+        "all": 600, "few": 200, "w7": 1}
+
+
+def test_numbered_codes():
+    draw = np.random.default_rng(3)
+    for codes in (draw.integers(0, 50, 2000), draw.integers(0, 1 << 40, 100), np.array([7])):
+        for got, want in zip(keyword._numbered(codes), np.unique(codes, return_inverse=True)):
+            assert np.array_equal(got, want)
+
+
+def test_keyword_index_is_made_from_the_stored_chunks(spark, monkeypatch):
+    """Documents are cut into chunks once for the chunk table and its index."""
+    from catalog import retrieval as queries
+
+    made = []
+    cut_up = queries.keyed_chunks
+    monkeypatch.setattr(queries, "_WRITTEN", {})
+    monkeypatch.setattr(queries, "keyed_chunks", lambda *a: made.append(a) or cut_up(*a))
+    stored = queries.corpus(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and stored.keyword_index.chunks == stored.chunks.count() > 0
